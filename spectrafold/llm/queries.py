@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, sharding
+from . import chat, decontaminate, neardup, packing, quality, sharding
 from .common import materialize, table
 
 SHARDS = 16
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.drop("ids")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = sharding.records(table(spark, sf_dir, "documents"))
     slot_map = materialize(sharding.build_map(sharding.slot_table(recs), SHARDS), "slot-map")
@@ -54,5 +58,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_sharding, op5_quality, op8_chat_formatting, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_near_duplicates, op4_sharding, op5_quality, op8_chat_formatting, op10_decontamination)}
 ORACLES: dict[str, str] = {}
