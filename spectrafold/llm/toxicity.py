@@ -99,8 +99,9 @@ def grade_rows(rows: list[tuple[dict, int]], steps: tuple[int, ...] = (4, 8)) ->
     return [0 if not t else 1 + sum(sum(n for w, n in ws.items() if w in marked) >= s for s in steps) for ws, t in rows]
 
 
-def choose(rows: list[tuple[dict, int]], least: float = 25.0) -> list[str]:
-    """Features whose presence and the label are dependent, by the G statistic."""
+def choose(rows: list[tuple[dict, int]], least: float = 20.0, share: float = 0.8) -> list[str]:
+    """Features whose presence and the label are dependent, by the G statistic, and of whose
+    texts the given share is toxic; weaker ones mostly tell languages apart."""
     count, toxic = Counter(), Counter()
     for ws, g in rows:
         fs = {f for w in ws for f in features_of(w)}
@@ -114,7 +115,7 @@ def choose(rows: list[tuple[dict, int]], least: float = 25.0) -> list[str]:
         want = cells.sum(1, keepdims=True) * cells.sum(0, keepdims=True) / n
         return 2 * float((cells * np.log(np.where(cells > 0, cells, 1) / np.maximum(want, 1e-12)))[cells > 0].sum())
 
-    found = sorted(((-s, f) for f in count if count[f] >= 3 and toxic[f] * n > count[f] * p and (s := g_test(f)) >= least))
+    found = sorted(((-s, f) for f in count if count[f] >= 3 and toxic[f] >= share * count[f] and (s := g_test(f)) >= least))
     return [f for _, f in found[:MOST_FEATURES]]
 
 
