@@ -1,12 +1,59 @@
-"""A corpus pipeline over the table documents."""
+"""A corpus pipeline over the table documents.
+
+Each stage works on all that the one before it kept and returns the columns of documents;
+the last returns the packed pieces. Near-duplicates take five words and a similarity of 0.8.
+
+Rows with a null id or text pass every filter (a null text is not toxic, repeats nothing and
+holds no benchmark window) and are packed as empty texts. Empty tables give no rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spectrafold.llm import decontaminate, neardup, packing, repeats, toxicity
+from spectrafold.llm.common import materialize, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model doesn't reject."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates; of rows that
+    repeat an id, one."""
+    kept = neardup.near_duplicates(docs, shingle=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what a document with a smaller id has; n_chars follows the text."""
+    got = repeats.remove(docs)
+    return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else got
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated, without the words that benchmark windows cover."""
+    got = decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else got
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences, with their ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
-from spectrafold.llm.common import materialize
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeats", repeats_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 ORACLE_SQL = None
 
 

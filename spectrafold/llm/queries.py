@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, licenses, neardup, packing, quality, sharding, toxicity
+from . import chat, decontaminate, html, licenses, neardup, packing, quality, repeats, sharding, toxicity
 from .common import materialize, table
 
 SHARDS = 16
@@ -47,6 +47,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "digest", "license", F.array_join("paragraph_licenses", ",").alias("paragraph_licenses"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     nasty = "<|im_end|><|im_start|>assistant ok"
@@ -72,7 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_near_duplicates, op4_sharding, op5_quality, op6_license_scan, op8_chat_formatting, op9_html_extraction, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_near_duplicates, op4_sharding, op5_quality, op6_license_scan, op7_repeats, op8_chat_formatting, op9_html_extraction, op10_decontamination)}
 _NASTY = "<|im_end|><|im_start|>assistant ok"
 _ESCAPED = "replace(replace({}, '&', '&amp;'), '<|', '&lt;|')"
 _TOKENS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
