@@ -8,13 +8,16 @@
    so two such classes share an entry: every pair under that distance is found. At the
    similarity of 0.8 the distance of two classes is at most 23 of 60 with probability 0.9997,
    and beyond it a pair still is found unless every chunk has two differences: 1e-7.
-3. In every entry each member is paired with the smallest one. Pairs whose sizes or whole
-   signatures rule the similarity out are dropped (a true pair at 0.8 differs in over 32 of
-   60 values with probability 1e-9); the rest are confirmed on the full sets.
-4. Only entries whose members are still in several components after that are looked at again:
-   there all further pairs of members of different components that pass the same test are
-   confirmed too. So no link between components is lost, although a group of mutual copies
-   costs one pair a member, not the square of the group.
+3. Entries with equal members count once. In every block of an entry's members each is paired
+   with the centre, the member that agrees most with the others. Pairs whose sizes, signatures
+   or bins rule the similarity out are dropped: a class also carries the smallest shingle of
+   each of BINS bins, and of the bins in use the share that agree is a sample without
+   replacement of the union, so the bound, six deviations wide, is near exact for short texts.
+   The rest are confirmed on the full sets.
+4. Entries whose members are still in several components are looked at again: members outside
+   the largest component there are compared, in blocks, with all members of other components,
+   and pairs that pass the same test are confirmed. So no link between components is lost,
+   while a group of mutual copies costs one pair a member, not the square of the group.
 5. Links become components, and components go back to all documents.
 
 Nulls and empty texts have an empty set and are linked with nothing; texts with fewer words
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -38,7 +41,9 @@ from .components import components
 
 CHUNKS, WIDTH, BITS = 12, 5, 16
 VALUES = CHUNKS * WIDTH
-MOST_APART = 32
+#: More differences than any true pair has, but for one in a million at 0.8.
+MOST_APART = 28
+BINS, BLOCK = 256, 2000
 CACHED = 1_000_000
 _ODD = np.random.default_rng(20240229).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.random.default_rng(7).integers(1, 2**63, VALUES, dtype=np.uint64)
@@ -83,21 +88,40 @@ def signature(s: np.ndarray) -> np.ndarray:
     return ((low >> np.uint64(40)) & np.uint64(0xFFFF)).astype("<u2")
 
 
+def bins(s: np.ndarray) -> np.ndarray:
+    """A byte of the smallest element of each bin, 0 where there is none."""
+    out = np.zeros(BINS, np.uint8)
+    at, first = np.unique(s & np.uint64(BINS - 1), return_index=True)
+    out[at] = 1 + (s[first] >> np.uint64(8)) % np.uint64(255)
+    return out
+
+
+def _pass(n1, sig1, bins1, n2, sig2, bins2, percent: int) -> np.ndarray:
+    """Which rows of the first and second arrays may be similar enough."""
+    p = percent / 100
+    ok = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((sig1 != sig2).sum(axis=-1) <= MOST_APART)
+    used = ((bins1 | bins2) > 0).sum(axis=-1)
+    both = ((bins1 == bins2) & (bins1 > 0)).sum(axis=-1)
+    left = np.maximum(0, 1 - used * (1 + p) / (n1 + n2))
+    return ok & (both >= p * used - 6 * np.sqrt(p * (1 - p) * used * left) - 1)
+
+
 def _features(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for b in batches:
-            size, one, two, sig = [], [], [], []
+            size, one, two, sig, low = [], [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), n, known)
                 size.append(len(s))
                 one.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(np.bitwise_xor.reduce(s * _M2 ^ (s >> np.uint64(31)), dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "f1", "f2", "sig"])
+                low.append(bins(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["id", "n", "f1", "f2", "sig", "bins"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary")
+    return slim.mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary, bins binary")
 
 
 def _entries(classes: DataFrame) -> DataFrame:
@@ -120,64 +144,90 @@ def _entries(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
-def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that their sizes and signatures don't rule out."""
-    side = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+def _arrays(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    out = {c: b.column(c).to_numpy() for c in b.schema.names if c not in ("sig", "bins")}
+    out["sig"] = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, VALUES)
+    out["bins"] = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, VALUES) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= MOST_APART))
-
-    got = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return got.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
-
-def _within(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of different components in each entry, by blocks, filtered before
-    anything is emitted. entries: key, rep, root, n, sig; rows of a key come together."""
-
-    def pairs(block: list, other: list | None) -> pa.RecordBatch | None:
-        rep, root, n, sig = ([x[k] for x in block] for k in range(4))
-        rep, root, n = np.array(rep), np.array(root), np.array(n)
-        sig = np.frombuffer(b"".join(sig), "<u2").reshape(-1, VALUES)
-        orep, oroot, on, osig = rep, root, n, sig
-        if other is not None:
-            orep, oroot, on = (np.array([x[k] for x in other]) for k in range(3))
-            osig = np.frombuffer(b"".join(x[3] for x in other), "<u2").reshape(-1, VALUES)
-        a, b = [], []
-        for i in range(len(rep)):
-            ok = (oroot != root[i]) & (100 * np.minimum(on, n[i]) >= percent * np.maximum(on, n[i]))
-            if other is None:
-                ok[: i + 1] = False
-            at = np.flatnonzero(ok)
-            at = at[(osig[at] != sig[i]).sum(axis=1) <= MOST_APART]
-            a += [int(rep[i])] * len(at)
-            b += orep[at].tolist()
-        lo, hi = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"]) if len(lo) else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, blocks = None, [[]]
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
-        def flush():
-            for i, x in enumerate(blocks):
-                for y in [None, *blocks[:i]]:
-                    if x and (got := pairs(x, y)) is not None:
-                        yield got
 
-        for b in batches:
-            for k, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if k != key:
-                    yield from flush()
-                    key, blocks = k, [[]]
-                if len(blocks[-1]) == 2000:
-                    blocks.append([])
-                blocks[-1].append(row)
-        yield from flush()
+def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(np.concatenate([[True], new])).tolist()
+    return zip(at, [*at[1:], len(keys[0])])
 
-    return entries.select("key", "rep", "root", "n", "sig").mapInArrow(run, "a long, b long").distinct()
+
+def _centres(members: DataFrame, percent: int) -> DataFrame:
+    """Each member with the centre of its block, where they pass. members: key, rep, n, sig,
+    bins; rows of a key come together. A block is what of a key stands in one batch, at most
+    BLOCK rows; blocks of a key are chained by their centres."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # key and centre of the block before
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                x = _arrays(batch.slice(lo, BLOCK))
+                a, b = [], []
+                for i, j in _runs(x["key"]):
+                    sig = x["sig"][i:j]
+                    mid = 0
+                    if j - i > 2:
+                        order = np.sort(sig, axis=0)
+                        mode = order[(j - i) // 2]  # the value of a majority, where there is one
+                        mid = int((sig == mode).sum(axis=1).argmax())
+                    c = i + mid
+                    one = {k: v[c : c + 1] for k, v in x.items()}
+                    if last is not None and last["key"][0] == one["key"][0]:
+                        if _pass(last["n"], last["sig"], last["bins"], one["n"], one["sig"], one["bins"], percent)[0] and last["rep"][0] != one["rep"][0]:
+                            a.append(last["rep"])
+                            b.append(one["rep"])
+                    ok = _pass(x["n"][i:j], sig, x["bins"][i:j], one["n"], one["sig"], one["bins"], percent)
+                    ok[mid] = False
+                    a.append(x["rep"][i:j][ok])
+                    b.append(np.full(int(ok.sum()), one["rep"][0]))
+                    last = one
+                if a:
+                    yield _pairs(np.concatenate(a), np.concatenate(b))
+
+    return members.select("key", "rep", "n", "sig", "bins").mapInArrow(run, "a long, b long").distinct()
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a block of members outside the largest component with members of others. rows:
+    key, block, side (0: the block, 1: all members), rep, root, n, sig, bins, in this order, so
+    a block is held and the rest streams past it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                x = _arrays(batch.slice(lo, BLOCK))
+                a, b = [], []
+                for i, j in _runs(x["key"], x["block"], x["side"]):
+                    now = {k: v[i:j] for k, v in x.items()}
+                    name = (int(now["key"][0]), int(now["block"][0]))
+                    if now["side"][0] == 0:
+                        held = now if at != name else {k: np.concatenate([held[k], v]) for k, v in now.items()}
+                        at = name
+                        continue
+                    if at != name:
+                        continue  # no member fell into this block
+                    for k in range(len(held["rep"])):
+                        # two members outside the largest component meet twice; the lower takes it
+                        twin = (now["minor"] == 1) & (now["rep"] < held["rep"][k])
+                        some = np.flatnonzero((now["root"] != held["root"][k]) & ~twin & (100 * np.minimum(now["n"], held["n"][k]) >= percent * np.maximum(now["n"], held["n"][k])))
+                        if len(some):
+                            some = some[_pass(now["n"][some], now["sig"][some], now["bins"][some], held["n"][k], held["sig"][k], held["bins"][k], percent)]
+                            a.append(now["rep"][some])
+                            b.append(np.full(len(some), held["rep"][k]))
+                if a:
+                    yield _pairs(np.concatenate(a), np.concatenate(b))
+
+    return rows.select("key", "block", "side", "minor", "rep", "root", "n", "sig", "bins").mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
@@ -209,21 +259,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id_col, n_shingles, component_id, kept for every row of docs."""
     feats = materialize(_features(docs, id_col, text_col, shingle), "features")
     same = ["n", "f1", "f2"]
-    classes = materialize(feats.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    entries = materialize(_entries(classes), "entries")
-    shared = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = materialize(entries.join(shared, "key"), "members")
-
-    hubs = _close(members.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), classes, percent)
-    links = materialize(_confirm(materialize(hubs, "hubs"), docs, id_col, text_col, shingle, percent), "links")
+    classes = materialize(feats.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bins").alias("bins")), "classes")
+    w = Window.partitionBy("key")
+    shared = _entries(classes).withColumn("members", F.count(F.lit(1)).over(w)).withColumn("who", F.bit_xor(F.xxhash64("rep")).over(w))
+    shared = materialize(shared.filter("members > 1"), "shared")
+    once = shared.groupBy("members", "who").agg(F.min("key").alias("key")).select("key")
+    members = materialize(shared.join(once, "key", "left_semi").join(classes.select("rep", "n", "sig", "bins"), "rep"), "members")
+
+    tried = materialize(_centres(members.repartition("key").sortWithinPartitions("key", "rep"), percent), "centres")
+    links = materialize(_confirm(tried, docs, id_col, text_col, shingle, percent), "links")
     roots = components(links)
 
-    named = members.filter("members > 2").select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    named = materialize(named, "named")
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    again = named.join(mixed, "key").join(classes.select("rep", "n", "sig"), "rep")
-    more = _within(again.repartition("key").sortWithinPartitions("key"), percent).join(hubs_of(members), ["a", "b"], "left_anti")
-    links = links.unionAll(_confirm(materialize(more, "more"), docs, id_col, text_col, shingle, percent))
+    named = members.filter("members > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = materialize(named.select("key", "rep", "root", "n", "sig", "bins"), "named")
+    sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("major"), (F.sum("c") - F.max("c")).alias("others")).filter("roots > 1")
+    mixed = mixed.select("key", "major", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
+    again = named.join(mixed, "key").withColumn("minor", (F.col("root") != F.col("major")).cast("int"))
+    held = again.filter("minor = 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
+    passing = again.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    rows = held.unionByName(passing).repartition("key", "block").sortWithinPartitions("key", "block", "side")
+    more = materialize(_across(rows, percent).join(tried, ["a", "b"], "left_anti"), "more")
+    links = links.unionAll(_confirm(more, docs, id_col, text_col, shingle, percent))
     roots = components(links)
 
     named = classes.select(*[F.col(c).alias(f"__{c}") for c in same], "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -231,7 +288,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     got = feats.join(named, by, "left")
     root = F.coalesce("root", "rep", "id")
     return got.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept"))
-
-
-def hubs_of(members: DataFrame) -> DataFrame:
-    return members.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
