@@ -53,6 +53,18 @@ def require_columns(df: DataFrame, names: list[str], exact: bool = False) -> Dat
     return df
 
 
+def numbered(rows: DataFrame, by: str, order: str, name: str = "frame", block: int = 1 << 16) -> DataFrame:
+    """rows with a number from 0 within `by`, in the order of a whole-numbered column without
+    ties. Ranges of the order are numbered apart, and what stands before each is a sum over
+    their counts, so a source of any size is never one task's work."""
+    cut = rows.withColumn("__range", F.floor(F.col(order) / block))
+    counts = cut.groupBy(by, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    rank = F.row_number().over(Window.partitionBy(by, "__range").orderBy(order)) - 1
+    return cut.withColumn("__rank", rank).join(counts, [by, "__range"]).withColumn(name, F.col("__before") + F.col("__rank")).drop("__range", "__rank", "__before")
+
+
 def segments(chunks: DataFrame, by: str = "source") -> DataFrame:
     """chunks with corrected (the flag, 0 where a continuing chunk has no direct predecessor)
     and segment (counted from 1 by source)."""
