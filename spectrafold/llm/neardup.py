@@ -16,8 +16,9 @@
    The rest are confirmed on the full sets.
 4. Entries whose members are still in several components are looked at again: members outside
    the largest component there are compared, in blocks, with all members of other components,
-   and pairs that pass the same test are confirmed. So no link between components is lost,
-   while a group of mutual copies costs one pair a member, not the square of the group.
+   by sketches that are whole sets up to SKETCH shingles, and a link or two with each component
+   are confirmed. So no link between components is lost, while a group of mutual copies costs
+   one pair a member, not the square of the group, and near misses are not sent at all.
 5. Links become components, and components go back to all documents.
 
 Nulls and empty texts have an empty set and are linked with nothing; texts with fewer words
@@ -44,6 +45,11 @@ VALUES = CHUNKS * WIDTH
 #: More differences than any true pair has, but for one in a million at 0.8.
 MOST_APART = 28
 BINS, BLOCK = 256, 2000
+#: Shingles up to which a sketch is the whole set; size of the flag table; links of a member with
+#: one other component that a slice gives.
+SKETCH, PER_ROOT = 1024, 2
+_FLAGS = np.zeros(1 << 20, bool)
+_TOP = np.uint64(2**64 - 1)
 CACHED = 1_000_000
 _ODD = np.random.default_rng(20240229).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.random.default_rng(7).integers(1, 2**63, VALUES, dtype=np.uint64)
@@ -98,12 +104,16 @@ def bins(s: np.ndarray) -> np.ndarray:
 
 def _pass(n1, sig1, bins1, n2, sig2, bins2, percent: int) -> np.ndarray:
     """Which rows of the first and second arrays may be similar enough."""
-    p = percent / 100
     ok = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((sig1 != sig2).sum(axis=-1) <= MOST_APART)
+    return ok & _bins_pass(n1, bins1, n2, bins2, percent)
+
+
+def _bins_pass(n1, bins1, n2, bins2, percent: int) -> np.ndarray:
+    p = percent / 100
     used = ((bins1 | bins2) > 0).sum(axis=-1)
     both = ((bins1 == bins2) & (bins1 > 0)).sum(axis=-1)
     left = np.maximum(0, 1 - used * (1 + p) / (n1 + n2))
-    return ok & (both >= p * used - 6 * np.sqrt(p * (1 - p) * used * left) - 1)
+    return (both >= p * used - 6 * np.sqrt(p * (1 - p) * used * left) - 1)
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -196,49 +206,125 @@ def _centres(members: DataFrame, percent: int) -> DataFrame:
     return members.select("key", "rep", "n", "sig", "bins").mapInArrow(run, "a long, b long").distinct()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The upper halves of a set's hashes; of a set of over SKETCH those below a power of two
+    that leaves about SKETCH, so that two sketches are samples by one rule."""
+    return (s[s < (_TOP >> np.uint64(_level(len(s))))] >> np.uint64(32)).astype("<u4").tobytes() if _level(len(s)) else (s >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def _level(n: int) -> int:
+    return max(0, (-(-n // SKETCH) - 1).bit_length())
+
+
+def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """id, s (the full set) of the documents with these ids. Texts are shuffled here, once, and
+    nowhere else."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), n, known).tobytes() for t in b.column(1)], pa.binary())], names=["id", "s"])
+
+    return texts.mapInArrow(run, "id long, s binary").dropDuplicates(["id"])
+
+
+def _sketches(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """rep, sketch of the documents with these ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(np.frombuffer(x.as_buffer(), np.uint64)) for x in b.column(1)], pa.binary())], names=["rep", "sketch"])
+
+    return sets.mapInArrow(run, "rep long, sketch binary").join(ids, "rep", "left_semi")
+
+
+class Slice:
+    """Rows that stream past, with their sketches as one array."""
+
+    def __init__(self, x: dict[str, np.ndarray], blobs: list[bytes]):
+        self.x, self.blobs = x, blobs
+        self.size = np.array([len(b) // 4 for b in blobs])
+        self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.flat = np.frombuffer(b"".join(blobs), "<u4") & np.uint32(len(_FLAGS) - 1)
+        self.level = np.array([_level(n) for n in x["n"].tolist()])
+
+    def linked(self, some: np.ndarray, n: int, blob: bytes, percent: int) -> np.ndarray:
+        """Those of the rows `some` that a set of n shingles with this sketch is linked with by
+        the sketches: whole sets and never too few up to SKETCH shingles, beyond it all but
+        certain ones."""
+        own, p = np.frombuffer(blob, "<u4"), percent / 100
+        flags = own & np.uint32(len(_FLAGS) - 1)
+        _FLAGS[flags] = True
+        if 2 * len(some) > len(self.size):
+            both = np.add.reduceat(_FLAGS[self.flat], self.at, dtype=np.int64)[some]
+        else:
+            both = np.array([np.count_nonzero(_FLAGS[self.flat[a : a + k]]) for a, k in zip(self.at[some].tolist(), self.size[some].tolist())], np.int64)
+        _FLAGS[flags] = False
+        ok = 100 * both >= percent * (self.x["n"][some] + n - both)
+        for k in np.flatnonzero((self.level[some] > 0) | (_level(n) > 0)).tolist():
+            top = 1 << (32 - max(int(self.level[some[k]]), _level(n)))
+            one, two = own[own < top], np.frombuffer(self.blobs[some[k]], "<u4")
+            two = two[two < top]
+            same = int(np.isin(one, two).sum())
+            union = len(one) + len(two) - same
+            ok[k] = same >= p * union - 6 * (p * (1 - p) * max(1, union)) ** 0.5
+        for k in np.flatnonzero(ok & (self.level[some] == 0)).tolist() if not _level(n) else ():
+            same = int(np.isin(own, np.frombuffer(self.blobs[some[k]], "<u4")).sum())
+            ok[k] = 100 * same >= percent * (int(self.x["n"][some[k]]) + n - same)
+        return some[ok]
+
+
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of a block of members outside the largest component with members of others. rows:
-    key, block, side (0: the block, 1: all members), rep, root, n, sig, bins, in this order, so
-    a block is held and the rest streams past it."""
+    key, block, side (0: the block, 1: all members), rep, root, n, bins, sketch, in this order,
+    so a block is held and the rest streams past it. Of the links of a member with one other
+    component in a slice, PER_ROOT are enough if both sketches are whole sets; else all go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, None
+        at, held, blobs = None, None, []
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
-                x = _arrays(batch.slice(lo, BLOCK))
+                part = batch.slice(lo, BLOCK)
+                x = {c: part.column(c).to_numpy() for c in ("key", "block", "side", "minor", "rep", "root", "n")}
+                x["bins"] = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+                all_blobs = part.column("sketch").to_pylist()
                 a, b = [], []
                 for i, j in _runs(x["key"], x["block"], x["side"]):
                     now = {k: v[i:j] for k, v in x.items()}
                     name = (int(now["key"][0]), int(now["block"][0]))
                     if now["side"][0] == 0:
-                        held = now if at != name else {k: np.concatenate([held[k], v]) for k, v in now.items()}
-                        at = name
+                        if at == name:
+                            held, blobs = {k: np.concatenate([held[k], v]) for k, v in now.items()}, blobs + all_blobs[i:j]
+                        else:
+                            at, held, blobs = name, now, all_blobs[i:j]
                         continue
                     if at != name:
                         continue  # no member fell into this block
+                    passing = Slice(now, all_blobs[i:j])
                     for k in range(len(held["rep"])):
+                        rep, n = held["rep"][k], int(held["n"][k])
                         # two members outside the largest component meet twice; the lower takes it
-                        twin = (now["minor"] == 1) & (now["rep"] < held["rep"][k])
-                        some = np.flatnonzero((now["root"] != held["root"][k]) & ~twin & (100 * np.minimum(now["n"], held["n"][k]) >= percent * np.maximum(now["n"], held["n"][k])))
+                        twin = (now["minor"] == 1) & (now["rep"] < rep)
+                        some = np.flatnonzero((now["root"] != held["root"][k]) & ~twin & (100 * np.minimum(now["n"], n) >= percent * np.maximum(now["n"], n)))
+                        some = some[_bins_pass(now["n"][some], now["bins"][some], n, held["bins"][k], percent)]
                         if len(some):
-                            some = some[_pass(now["n"][some], now["sig"][some], now["bins"][some], held["n"][k], held["sig"][k], held["bins"][k], percent)]
+                            some = passing.linked(some, n, blobs[k], percent)
+                            if not _level(n):
+                                order = np.argsort(now["root"][some], kind="stable")
+                                root = now["root"][some][order]
+                                rank = np.arange(len(root)) - np.searchsorted(root, root)
+                                some = some[order[(rank < PER_ROOT) | (passing.level[some][order] > 0)]]
                             a.append(now["rep"][some])
-                            b.append(np.full(len(some), held["rep"][k]))
+                            b.append(np.full(len(some), rep))
                 if a:
                     yield _pairs(np.concatenate(a), np.concatenate(b))
 
-    return rows.select("key", "block", "side", "minor", "rep", "root", "n", "sig", "bins").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "block", "side", "minor", "rep", "root", "n", "bins", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links on their full sets, as edges (u, v)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), n, known).tobytes() for t in b.column(1)], pa.binary())], names=["id", "s"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -250,7 +336,6 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: i
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    made = materialize(texts.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), "sets")
     both = pairs.join(made.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(made.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
     return both.select("a", "b", "s_a", "s_b").mapInArrow(test, "u long, v long")
 
@@ -266,21 +351,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = shared.groupBy("members", "who").agg(F.min("key").alias("key")).select("key")
     members = materialize(shared.join(once, "key", "left_semi").join(classes.select("rep", "n", "sig", "bins"), "rep"), "members")
 
+    sets = materialize(_sets(members.select(F.col("rep").alias("id")).distinct(), docs, id_col, text_col, shingle), "sets")
     tried = materialize(_centres(members.repartition("key").sortWithinPartitions("key", "rep"), percent), "centres")
-    links = materialize(_confirm(tried, docs, id_col, text_col, shingle, percent), "links")
+    links = materialize(_confirm(tried, sets, percent), "links")
     roots = components(links)
 
     named = members.filter("members > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    named = materialize(named.select("key", "rep", "root", "n", "sig", "bins"), "named")
+    named = materialize(named.select("key", "rep", "root", "n", "bins"), "named")
     sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("major"), (F.sum("c") - F.max("c")).alias("others")).filter("roots > 1")
     mixed = mixed.select("key", "major", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
-    again = named.join(mixed, "key").withColumn("minor", (F.col("root") != F.col("major")).cast("int"))
+    again = materialize(named.join(mixed, "key").withColumn("minor", (F.col("root") != F.col("major")).cast("int")), "again")
+    again = again.join(_sketches(again.select("rep").distinct(), sets), "rep")
     held = again.filter("minor = 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
     passing = again.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
     rows = held.unionByName(passing).repartition("key", "block").sortWithinPartitions("key", "block", "side")
     more = materialize(_across(rows, percent).join(tried, ["a", "b"], "left_anti"), "more")
-    links = links.unionAll(_confirm(more, docs, id_col, text_col, shingle, percent))
+    links = links.unionAll(_confirm(more, sets, percent))
     roots = components(links)
 
     named = classes.select(*[F.col(c).alias(f"__{c}") for c in same], "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
