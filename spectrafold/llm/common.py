@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +54,25 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """Array of the runs of characters other than \\x20 and \\x09-\\x0D; null: empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_SPLIT), lambda w: w != "")
+
+
+def trim() -> None:
+    """Give freed memory of this Python worker back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m"):
+    """Arrow batches of few rows for the actions within, so that long rows stay within memory."""
+    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    try:
+        for k, v in ours.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

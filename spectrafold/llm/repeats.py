@@ -10,14 +10,15 @@ repeats as a whole is set aside first, both exactly, and only the rest is transf
    the bytes of all windows around it. Equal contexts of a block are sent once, with the
    smallest id (the others are known to repeat), so a passage in a third of all documents is
    sent once a block. A bucket answers: the context as a whole also stands in a smaller
-   document; or the anchor has several contexts, and this text owns the first of one.
+   document; or the anchor has several contexts and this text owns the first of one that goes on
+   like another for 16 bytes to the left or to the right, as a match of WIDTH bytes must.
 3. Owned contexts are cut out and meet in buckets by anchor. Every block there is a shard
    with a transform of its own; the shards are merged by interleave refinement, and the
    intervals with a common prefix of WIDTH bytes give the smallest id of each window.
 4. The spans of a document are united and cut from its bytes.
 
-Hashes have 64, 54 (anchor with bucket) and 48 (context of an anchor) bits; equal 48-bit
-hashes of different contexts of one anchor would be a false repeat.
+Hashes of contexts have 48 bits besides the 32 and more of their anchor's; only if both agree
+for different contexts would there be a false repeat. Other hashes only group.
 
 Nulls: a null text is empty; a document with a null id is left whole and makes no other one
 shorter. Repeated rows get the same result each; rows of one id with different texts are
@@ -33,21 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bwt
-from .common import materialize
+from .common import materialize, small_batches, trim
 
 WIDTH, GRAM = 50, 18
 SIDE = WIDTH - GRAM
-BUCKET_BYTES = 12_000_000
-SEGMENT = 1 << 20
+BUCKET_BYTES, BLOCK_BYTES = 3_000_000, 5_000_000
+SEGMENT = 1 << 18
 _TABLE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(12).integers(2**60, 2**62, 8)]
-_LOW48 = np.uint64((1 << 48) - 1)
-_MAX = np.iinfo(np.uint64).max
 
 
 def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
@@ -59,19 +59,20 @@ def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
     return best(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, hashes and context hashes of a text's anchors."""
+def anchors(text: bytes) -> tuple[np.ndarray, ...]:
+    """Positions, hashes, context hashes and hashes of the 16 bytes to the left and to the right
+    (0 where there are fewer) of a text's anchors."""
     parts = [_segment(text, s, min(s + SEGMENT, len(text) - WIDTH + 1)) for s in range(0, len(text) - WIDTH + 1, SEGMENT)]
     if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    pos, h, ctx = (np.concatenate(x) for x in zip(*parts))
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint16), np.empty(0, np.uint16)
+    cols = [np.concatenate(x) for x in zip(*parts)]
     if len(parts) > 1:
-        pos, first = np.unique(pos, return_index=True)
-        h, ctx = h[first], ctx[first]
-    return pos, h, ctx
+        first = np.unique(cols[0], return_index=True)[1]
+        cols = [c[first] for c in cols]
+    return tuple(cols)
 
 
-def _segment(text: bytes, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segment(text: bytes, start: int, stop: int) -> tuple[np.ndarray, ...]:
     """Anchors of the windows that start in [start, stop)."""
     left = max(0, start - SIDE)
     b = np.frombuffer(text, np.uint8)[left : stop + WIDTH + SIDE]
@@ -99,7 +100,14 @@ def _segment(text: bytes, start: int, stop: int) -> tuple[np.ndarray, np.ndarray
         s = int(pos[i]) + left
         before = min(s, SIDE)
         ctx[i] = xxhash.xxh64_intdigest(text[s - before : s + GRAM + SIDE], seed=before + 1)
-    return pos + left, g[at], ctx
+    sides = []
+    for p in (pos - 16, pos + GRAM):
+        there = (p >= 0) & (p + 16 <= len(b))
+        side = np.zeros(len(pos), np.uint16)
+        x = h16[p[there]]
+        side[there] = (x ^ (x >> np.uint64(32))) % np.uint64(65535) + np.uint64(1)
+        sides.append(side)
+    return pos + left, g[at], ctx, *sides
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -112,7 +120,7 @@ def _unsix(x: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-_SENT = "bucket int, a binary, ctx binary, doc binary, pos binary, ids binary, ts binary"
+_SENT = "bucket int, a binary, ctx binary, sides binary, doc binary, pos binary, ids binary, ts binary"
 _REPLY = "id long, t long, marks binary"
 
 
@@ -131,25 +139,28 @@ def _send(texts: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 30_000):
-                yield from block(batch.slice(lo, 30_000))
+            size = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                end = int(np.searchsorted(size, BLOCK_BYTES + (size[lo - 1] if lo else 0), "right"))
+                end = min(max(end, lo + 1), lo + 30_000)
+                yield from block(batch.slice(lo, end - lo))
+                lo = end
+                trim()
 
     def block(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, ts = b.column(0).to_numpy(), b.column(1).to_numpy()
-        docs, poss, hs, cs = [], [], [], []
+        got = []
         for k, x in enumerate(b.column(2)):
-            pos, h, ctx = anchors(x.as_py())
-            if len(pos):
-                docs.append(np.full(len(pos), k, np.uint16))
-                poss.append(pos)
-                hs.append(h)
-                cs.append(ctx)
-        if not docs:
+            own = anchors(x.as_py())
+            if len(own[0]):
+                got.append((np.full(len(own[0]), k, np.uint16), *own))
+        if not got:
             return
-        doc, pos, h, ctx = map(np.concatenate, (docs, poss, hs, cs))
-        del docs, poss, hs, cs
+        doc, pos, h, ctx, left, right = map(np.concatenate, zip(*got))
+        del got
         h ^= h >> np.uint64(31)
-        bucket = ((h >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
+        bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         both = (h * _P[7]) ^ ctx
         order = np.lexsort((ids[doc], both))
         same = np.concatenate([[False], both[order][1:] == both[order][:-1]])
@@ -163,27 +174,32 @@ def _send(texts: DataFrame, buckets: int) -> DataFrame:
             for k in np.unique(part).tolist():
                 some = m.filter(pa.array(part == k))
                 size = [len(x) for x in some.column(2).to_pylist()]
-                yield _row(buckets + k, b"".join(some.column(2).to_pylist()), b"", np.array(size, "<u4").tobytes(), b"", some.column(0).to_numpy(), some.column(1).to_numpy())
+                yield _row(buckets + k, b"".join(some.column(2).to_pylist()), b"", b"", np.array(size, "<u4").tobytes(), b"", some.column(0).to_numpy(), some.column(1).to_numpy())
         # contexts that repeat within one document are sent for each place, for their replies
         keep = np.flatnonzero(~known)
-        keep = keep[np.argsort(bucket[keep], kind="stable")]
-        cut = np.searchsorted(bucket[keep], np.arange(buckets + 1))
-        for k in range(buckets):
-            at = keep[cut[k] : cut[k + 1]]
-            if len(at):
-                used, idx = np.unique(doc[at], return_inverse=True)
-                yield _row(k, _six(h[at]), _six(ctx[at]), idx.astype("<u2").tobytes(), pos[at].astype("<u4" if pos[at].max() < 2**32 else "<u8").tobytes(), ids[used], ts[used])
-
-    def _row(k: int, a: bytes, ctx: bytes, doc: bytes, pos: bytes, ids: np.ndarray, ts: np.ndarray) -> pa.RecordBatch:
-        cols = [[k], [a], [ctx], [doc], [pos], [ids.astype("<i8").tobytes()], [ts.astype("<i8").tobytes()]]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "a", "ctx", "doc", "pos", "ids", "ts"])
+        # places beyond 64 KiB go apart, so that the others need two bytes each
+        group = bucket[keep].astype(np.int64) * 2 + (pos[keep] >= 1 << 16)
+        order = np.argsort(group, kind="stable")
+        keep, group = keep[order], group[order]
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
+        for i, j in zip(start.tolist(), [*start[1:].tolist(), len(group)]):
+            at, k = keep[i:j], int(group[i])
+            used, idx = np.unique(doc[at], return_inverse=True)
+            wide = "<u2" if k % 2 == 0 else "<u4" if pos[at].max() < 2**32 else "<u8"
+            sides = left[at].astype("<u2").tobytes() + right[at].astype("<u2").tobytes()
+            yield _row(k // 2, h[at].astype("<u4").tobytes(), _six(ctx[at]), sides, idx.astype("<u2").tobytes(), pos[at].astype(wide).tobytes(), ids[used], ts[used])
+
+    def _row(k: int, a: bytes, ctx: bytes, sides: bytes, doc: bytes, pos: bytes, ids: np.ndarray, ts: np.ndarray) -> pa.RecordBatch:
+        cols = [[k], [a], [ctx], [sides], [doc], [pos], [ids.astype("<i8").tobytes()], [ts.astype("<i8").tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "a", "ctx", "sides", "doc", "pos", "ids", "ts"])
 
     return texts.mapInArrow(run, _SENT)
 
 
 def _answer(buckets: int):
     def run(t: pa.Table) -> pa.Table:
-        cols = {n: t.column(n).to_pylist() for n in ("a", "ctx", "doc", "pos", "ids", "ts")}
+        trim()
+        cols = {n: t.column(n).to_pylist() for n in ("a", "ctx", "sides", "doc", "pos", "ids", "ts")}
         ids = np.frombuffer(b"".join(cols["ids"]), "<i8")
         ts = np.frombuffer(b"".join(cols["ts"]), "<i8")
         if t.column("bucket")[0].as_py() >= buckets:
@@ -191,10 +207,11 @@ def _answer(buckets: int):
             whole, end = b"".join(cols["a"]), np.cumsum(size, dtype=np.int64).tolist()
             marks = [whole[i:j] for i, j in zip([0, *end[:-1]], end)]
             return pa.table([pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array(marks, pa.binary())], names=["id", "t", "marks"])
-        a, ctx = _unsix(b"".join(cols["a"])), _unsix(b"".join(cols["ctx"]))
+        a, ctx = np.frombuffer(b"".join(cols["a"]), "<u4").astype(np.uint64), _unsix(b"".join(cols["ctx"]))
+        sides = [np.concatenate([np.frombuffer(x, "<u2").reshape(2, -1)[k] for x in cols["sides"]]).astype(np.uint64) for k in (0, 1)]
         base = np.concatenate([[0], np.cumsum([len(x) // 8 for x in cols["ids"]])])
         doc = np.concatenate([np.frombuffer(x, "<u2").astype(np.int64) + base[k] for k, x in enumerate(cols["doc"])])
-        pos = np.concatenate([np.frombuffer(x, "<u4" if len(x) // max(1, len(cols["doc"][k]) // 2) == 4 else "<u8").astype(np.int64) for k, x in enumerate(cols["pos"])])
+        pos = np.concatenate([np.frombuffer(x, f"<u{2 * len(x) // len(cols['doc'][k])}").astype(np.int64) for k, x in enumerate(cols["pos"])])
         own = ids[doc]
         # anchors of one id only can't repeat across documents
         order = np.argsort(a, kind="stable")
@@ -204,16 +221,22 @@ def _answer(buckets: int):
         many = np.repeat(lo != hi, np.diff(np.append(group, len(order))))
         keep = order[many]
         a, ctx, doc, pos, own = a[keep], ctx[keep], doc[keep], pos[keep], own[keep]
+        sides = [x[keep] for x in sides]
         if not len(a):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["id", "t", "marks"])
         order = np.lexsort((pos, own, ctx, a))
         a, ctx, doc, pos, own = a[order], ctx[order], doc[order], pos[order], own[order]
-        anew = np.concatenate([[True], a[1:] != a[:-1]])
-        cnew = anew | np.concatenate([[True], ctx[1:] != ctx[:-1]])
+        sides = [x[order] for x in sides]
+        cnew = np.concatenate([[True], (a[1:] != a[:-1]) | (ctx[1:] != ctx[:-1])])
         first = np.maximum.accumulate(np.where(cnew, np.arange(len(a)), 0))
-        # of the anchor: has it several contexts?
-        ga = np.cumsum(anew) - 1
-        several = (np.bincount(ga, cnew) > 1)[ga]
+        # does the context go on like another one of a different document?
+        several = np.zeros(len(a), bool)
+        for side in sides:
+            by = np.argsort((a << np.uint64(16)) | side, kind="stable")
+            key = (a[by] << np.uint64(16)) | side[by]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            apart = (np.minimum.reduceat(ctx[by], start) != np.maximum.reduceat(ctx[by], start)) & (np.minimum.reduceat(own[by], start) != np.maximum.reduceat(own[by], start)) & (side[by][start] > 0)
+            several[by] |= np.repeat(apart, np.diff(np.append(start, len(by))))
         repeats = own > own[first]
         send = ~repeats & several  # every place of the smallest document with this context
         at = np.flatnonzero(repeats | send)
@@ -231,8 +254,9 @@ def _contexts(active: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                yield from block(b.slice(lo, 2000))
+            for lo in range(0, b.num_rows, 1000):
+                yield from block(b.slice(lo, 1000))
+                trim()
 
     def block(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, out = [], {}
@@ -255,6 +279,7 @@ def _contexts(active: DataFrame, buckets: int) -> DataFrame:
 def _merge(t: pa.Table) -> pa.Table:
     """Spans from the merged transforms of a bucket's contexts. Every block is a shard; many
     small ones are joined first."""
+    trim()
     heads, strings, shards, now = [], [], [], []
     for head, parts, sizes in zip(*(t.column(c).to_pylist() for c in ("marks", "parts", "sizes"))):
         heads.append(np.frombuffer(head, "<i8").reshape(-1, 3))
@@ -266,10 +291,10 @@ def _merge(t: pa.Table) -> pa.Table:
         now += s
         now_head.append(h)
         if len(now) >= want or k == len(heads) - 1:
-            shards.append(bwt.build(now, WIDTH))
+            shards.append(bwt.build(now, WIDTH, 2))
             all_heads.append(np.concatenate(now_head))
             now, now_head = [], []
-    z, at, lcp = bwt.merge(shards, WIDTH)
+    z, at, lcp = bwt.merge(shards, WIDTH, 2)
     ids, starts, ok = np.empty(len(z), np.int64), np.empty(len(z), np.int64), np.empty(len(z), bool)
     ts = np.empty(len(z), np.int64)
     for k, s in enumerate(shards):
@@ -319,10 +344,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     64-bit pairs [start, stop) in bytes): documents in which something repeats."""
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").cast("binary").alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = int(min(60_000, max(8, -(-size // BUCKET_BYTES))))
-    replies = materialize(_send(texts, buckets).groupBy("bucket").applyInArrow(_answer(buckets), _REPLY), "anchors")
+    buckets = int(min(1_000_000_000, max(8, -(-size // BUCKET_BYTES))))
+    with small_batches(docs.sparkSession):
+        replies = materialize(_send(texts, buckets).groupBy("bucket").applyInArrow(_answer(buckets), _REPLY), "anchors")
     by = replies.groupBy("id", "t").agg(F.collect_list("marks").alias("marks"))
-    cuts = materialize(_contexts(texts.join(by, ["id", "t"]).select("id", "t", "text", "marks"), buckets), "contexts")
+    with small_batches(docs.sparkSession):
+        cuts = materialize(_contexts(texts.join(by, ["id", "t"]).select("id", "t", "text", "marks"), buckets), "contexts")
     found = cuts.filter("bucket >= 0").groupBy("bucket").applyInArrow(_merge, _REPLY)
     ready = cuts.filter("bucket < 0")
     spans = found.unionByName(ready.filter("octet_length(marks) > 0").select("id", "t", "marks")).groupBy("id", "t").agg(F.collect_list("marks").alias("spans"))
