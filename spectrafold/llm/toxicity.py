@@ -5,7 +5,9 @@ all K - 1 ordered thresholds (proportional odds): P(grade > k) = sigmoid(w.x - t
 expected severity is the sum of these over k. Features are the counts of words and of
 their first 4, 5 and 6 letters, A-Z and other cased letters lower-cased, chosen by a G-test
 between toxic and clean texts of the training sample, so texts without such words score as
-the bias alone, however long they are.
+the bias alone, however long they are. Each is tested at every level up to LEVELS: as "occurs
+that often at least". A stem that clean texts hold once, say, but toxic ones more often, counts
+from its second occurrence on.
 
 The model is fitted on the driver from at most `most_rows` labelled rows (those with the
 smallest hash of their id), each reduced to its distinct words; everything else covers all
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 MOST_ROWS, MOST_FEATURES = 8_000, 20_000
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
+#: Numbers of occurrences from which a feature may count.
+LEVELS = 4
 
 
 def word_counts(text: str | None) -> Counter:
@@ -46,10 +50,24 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
+def stem_counts(ws: dict[str, int]) -> Counter:
+    """Occurrences of each feature, by those of the words."""
+    on: Counter = Counter()
+    for w, n in ws.items():
+        for f in features_of(w):
+            on[f] += n
+    return on
+
+
+def at_level(f: str, level: int) -> str:
+    """Name of a feature that counts from its level-th occurrence on."""
+    return f if level == 1 else f"{f}{level}"
+
+
 @dataclass
 class Model:
-    """weights: by feature, for the binary logarithm of one more than its count;
-    thresholds: ascending, one fewer than grades."""
+    """weights: by feature and level, for the binary logarithm of one more than its count from
+    that level on; thresholds: ascending, one fewer than grades."""
 
     weights: dict[str, float]
     thresholds: list[float]
@@ -64,10 +82,10 @@ class Model:
             if got is None:
                 if len(known) > 500_000:
                     known.clear()
-                got = known[w] = tuple(f for f in features_of(w) if f in self.weights)
+                got = known[w] = tuple(f for f in features_of(w) if any(at_level(f, k) in self.weights for k in range(1, LEVELS + 1)))
             if got:
                 on.update(got)
-        z = sum(self.weights[f] * math.log2(1 + on[f]) for f in sorted(on))
+        z = sum(self.weights.get(at_level(f, k), 0.0) * math.log2(2 + on[f] - k) for f in sorted(on) for k in range(1, min(LEVELS, on[f]) + 1))
         p = 1 / (1 + np.exp(-np.clip(z - np.array(self.thresholds), -40, 40)))
         return float(p.sum()), float(p[0])
 
@@ -100,11 +118,12 @@ def grade_rows(rows: list[tuple[dict, int]], steps: tuple[int, ...] = (4, 8)) ->
 
 
 def choose(rows: list[tuple[dict, int]], least: float = 20.0, share: float = 0.8) -> list[str]:
-    """Features whose presence and the label are dependent, by the G statistic, and of whose
-    texts the given share is toxic; weaker ones mostly tell languages apart."""
+    """Features at levels where reaching the level and the label are dependent, by the G statistic,
+    and where the given share of the texts that reach it is toxic; weaker ones mostly tell
+    languages apart."""
     count, toxic = Counter(), Counter()
     for ws, g in rows:
-        fs = {f for w in ws for f in features_of(w)}
+        fs = [at_level(f, k) for f, n in stem_counts(ws).items() for k in range(1, min(LEVELS, n) + 1)]
         count.update(fs)
         if g:
             toxic.update(fs)
@@ -131,12 +150,7 @@ def fit(rows: list[tuple[dict, int]], grades: list[int], steps: int = 500, rate:
     at = {f: i for i, f in enumerate(names)}
     cols = []
     for ws, _ in rows:
-        on: Counter = Counter()
-        for w, n in ws.items():
-            for f in features_of(w):
-                if f in at:
-                    on[at[f]] += n
-        cols.append(sorted(on.items()))
+        cols.append(sorted((at[name], n + 1 - k) for f, n in stem_counts(ws).items() for k in range(1, min(LEVELS, n) + 1) if (name := at_level(f, k)) in at))
     row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     col = np.array([c for cs in cols for c, _ in cs], np.int64)
     val = np.log2(1 + np.array([n for cs in cols for _, n in cs], float))

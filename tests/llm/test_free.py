@@ -22,6 +22,27 @@ def test_toxicity_on_held_out(spark):
     assert all(0 <= r.expected_severity <= 3 for r in held)
 
 
+def test_toxicity_held_out_recall_of_each_language(spark):
+    """Over all toxic texts, whatever their words; stems that clean texts hold once count, too."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.filter("toxic in (0, 1)")
+    for held in (0, 1):
+        model = toxicity.train(docs, labels.filter(f"doc_id % 2 != {held}"))
+        rows = toxicity.score(docs, model).join(labels.filter(f"doc_id % 2 = {held}"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+        for lang in ("en", "de", "es", "fr"):
+            toxic = [r.rejected for r in rows if r.lang == lang and r.toxic]
+            clean = [r.rejected for r in rows if r.lang == lang and not r.toxic]
+            assert sum(toxic) >= 0.85 * len(toxic) > 0, lang
+            assert sum(clean) <= 0.03 * len(clean), lang
+
+
+def test_toxicity_levels():
+    """A stem that every clean text holds once and every toxic one three times."""
+    rows = [({"fooling": 1, f"a{i}": 1}, 0) for i in range(40)] + [({"fooling": 3, f"b{i}": 1}, 1) for i in range(20)]
+    model = toxicity.fit(rows, [t for _, t in rows])
+    assert [model.severity(t, {})[1] > 0.5 for t in ("fooling", "fooling fooling fooling", None)] == [False, True, False]
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 2.0), (None, "you idiot", 3.0)], "doc_id long, text string, p_toxic double")
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
