@@ -279,7 +279,8 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of a block of members outside the largest component with members of others. rows:
     key, block, side (0: the block, 1: all members), rep, root, n, bins, sketch, in this order,
     so a block is held and the rest streams past it. Of the links of a member with one other
-    component in a slice, PER_ROOT are enough if both sketches are whole sets; else all go."""
+    component in a slice, PER_ROOT of those where both sketches are whole sets are enough; of
+    the others, which may be refuted on full sets, all go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, blobs = None, None, []
@@ -311,10 +312,11 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                         if len(some):
                             some = passing.linked(some, n, blobs[k], percent)
                             if not _level(n):
-                                order = np.argsort(now["root"][some], kind="stable")
-                                root = now["root"][some][order]
+                                whole = some[passing.level[some] == 0]  # only these are sure to be links
+                                whole = whole[np.argsort(now["root"][whole], kind="stable")]
+                                root = now["root"][whole]
                                 rank = np.arange(len(root)) - np.searchsorted(root, root)
-                                some = some[order[(rank < PER_ROOT) | (passing.level[some][order] > 0)]]
+                                some = np.concatenate([whole[rank < PER_ROOT], some[passing.level[some] > 0]])
                             a.append(now["rep"][some])
                             b.append(np.full(len(some), rep))
                 if a:

@@ -52,3 +52,41 @@ def test_signatures_find_close_pairs():
         b[rng.choice(neardup.VALUES, 2 * neardup.CHUNKS - 1, replace=False)] += 1
         apart = (a != b).reshape(neardup.CHUNKS, neardup.WIDTH).sum(axis=1)
         assert apart.min() <= 1
+
+
+def test_sizes_around_the_sketch_limit(spark):
+    """Families of edited copies whose sets are whole sketches or samples, of similarities on
+    both sides of the border."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(5000)]
+    docs = []
+    for _ in range(3):
+        base = [rng.choice(vocab) for _ in range(1020)]
+        for _ in range(25):
+            text = list(base)
+            for _ in range(rng.randrange(35, 75)):
+                text[rng.randrange(len(text))] = rng.choice(vocab)
+            k = rng.randrange(-70, 131)
+            text = text[:k] if k < 0 else text + [rng.choice(vocab) for _ in range(k)]
+            docs.append((len(docs), " ".join(text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    same(neardup.near_duplicates(frame, shingle=2).collect(), docs, 2)
+
+
+def test_samples_do_not_use_up_the_links_of_whole_sets(spark):
+    """Rows that pass as samples only stand before a true link with the same component."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    own = np.unique(rng.integers(0, 2**64, 1000, dtype=np.uint64))
+
+    def edited(both, n):
+        return np.unique(np.concatenate([rng.permutation(own)[:both], rng.integers(0, 2**64, n - both, dtype=np.uint64)]))
+
+    def row(side, rep, root, s):
+        return (0, 0, side, 1 - side, rep, root, len(s), neardup.bins(s).tobytes(), neardup.sketch(s))
+
+    loose = [edited(907, 1100) for _ in range(2)]  # similarity 0.76
+    rows = [row(0, 1, 1, own), *(row(1, 11 + k, 9, s) for k, s in enumerate(loose)), row(1, 13, 9, edited(950, 1000))]
+    frame = spark.createDataFrame(rows, "key long, block int, side int, minor int, rep long, root long, n long, bins binary, sketch binary").coalesce(1)
+    assert sorted(map(tuple, neardup._across(frame, 80).collect())) == [(1, 11), (1, 12), (1, 13)]
