@@ -9,8 +9,8 @@
    similarity of 0.8 the distance of two classes is at most 23 of 60 with probability 0.9997,
    and beyond it a pair still is found unless every chunk has two differences: 1e-7.
 3. Entries with equal members count once. In every block of an entry's members each is paired
-   with the centre, the member that agrees most with the others. Pairs whose sizes, signatures
-   or bins rule the similarity out are dropped: a class also carries the smallest shingle of
+   with the centre, the member that agrees most with the others. Pairs whose sizes or bins rule
+   the similarity out are dropped: a class also carries the smallest shingle of
    each of BINS bins, and of the bins in use the share that agree is a sample without
    replacement of the union, so the bound, six deviations wide, is near exact for short texts.
    The rest are confirmed on the full sets.
@@ -42,8 +42,6 @@ from .components import components
 
 CHUNKS, WIDTH, BITS = 12, 5, 16
 VALUES = CHUNKS * WIDTH
-#: More differences than any true pair has, but for one in a million at 0.8.
-MOST_APART = 28
 BINS, BLOCK = 256, 2000
 #: Shingles up to which a sketch is the whole set; size of the flag table; links of a member with
 #: one other component that a slice gives.
@@ -102,9 +100,10 @@ def bins(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pass(n1, sig1, bins1, n2, sig2, bins2, percent: int) -> np.ndarray:
-    """Which rows of the first and second arrays may be similar enough."""
-    ok = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((sig1 != sig2).sum(axis=-1) <= MOST_APART)
+def _pass(n1, bins1, n2, bins2, percent: int) -> np.ndarray:
+    """Which rows of the first and second arrays may be similar enough. Signatures have no say:
+    pairs that share an entry can differ in more values than most do and be similar still."""
+    ok = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
     return ok & _bins_pass(n1, bins1, n2, bins2, percent)
 
 
@@ -192,10 +191,10 @@ def _centres(members: DataFrame, percent: int) -> DataFrame:
                     c = i + mid
                     one = {k: v[c : c + 1] for k, v in x.items()}
                     if last is not None and last["key"][0] == one["key"][0]:
-                        if _pass(last["n"], last["sig"], last["bins"], one["n"], one["sig"], one["bins"], percent)[0] and last["rep"][0] != one["rep"][0]:
+                        if _pass(last["n"], last["bins"], one["n"], one["bins"], percent)[0] and last["rep"][0] != one["rep"][0]:
                             a.append(last["rep"])
                             b.append(one["rep"])
-                    ok = _pass(x["n"][i:j], sig, x["bins"][i:j], one["n"], one["sig"], one["bins"], percent)
+                    ok = _pass(x["n"][i:j], x["bins"][i:j], one["n"], one["bins"], percent)
                     ok[mid] = False
                     a.append(x["rep"][i:j][ok])
                     b.append(np.full(int(ok.sum()), one["rep"][0]))

@@ -90,3 +90,14 @@ def test_samples_do_not_use_up_the_links_of_whole_sets(spark):
     rows = [row(0, 1, 1, own), *(row(1, 11 + k, 9, s) for k, s in enumerate(loose)), row(1, 13, 9, edited(950, 1000))]
     frame = spark.createDataFrame(rows, "key long, block int, side int, minor int, rep long, root long, n long, bins binary, sketch binary").coalesce(1)
     assert sorted(map(tuple, neardup._across(frame, 80).collect())) == [(1, 11), (1, 12), (1, 13)]
+
+
+def test_differing_signatures_do_not_drop_a_pair(spark):
+    """Two members of an entry whose signatures differ in 30 values, with equal bins."""
+    import numpy as np
+
+    one, two = np.zeros(neardup.VALUES, "<u2"), np.zeros(neardup.VALUES, "<u2")
+    two[5:35] = 1
+    low = neardup.bins(np.arange(1, 500, dtype=np.uint64)).tobytes()
+    frame = spark.createDataFrame([(7, 1, 499, one.tobytes(), low), (7, 2, 499, two.tobytes(), low)], "key long, rep long, n long, sig binary, bins binary").coalesce(1)
+    assert [tuple(r) for r in neardup._centres(frame, 80).collect()] == [(1, 2)]
