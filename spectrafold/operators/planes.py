@@ -98,9 +98,10 @@ def tract(cells: DataFrame, areas: DataFrame, reach: int, block: int = BLOCK) ->
     size = areas.groupBy("scale").agg(F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("area"), F.count(F.lit(1)).alias("rows"))
     model = areas.join(size, "scale").select(F.col("scale").alias("centre"), F.col("runscale").alias("scale"), "start_frame", "end_frame", "area", "rows")
     ends = F.array(F.struct((F.col("frame") - F.col("end_frame")).alias("frame"), F.col("cs").alias("v"), F.lit(1).alias("n")), F.struct((F.col("frame") - F.col("start_frame") + 1).alias("frame"), (-F.col("cs")).alias("v"), F.lit(1).alias("n")))
-    # the first frame of the plane has no sum before it: an area that starts there takes 0
+    # the first frame of a scale, 0 or later, has no sum before it: an area that starts there takes
+    # 0. In later blocks the first frame is one of the halo, and what it sends falls outside
     zero = F.array(F.struct((F.col("frame") - F.col("start_frame")).alias("frame"), F.lit(0.0).alias("v"), F.lit(1).alias("n")))
-    starts = F.when((F.col("frame") == F.col("first")) & (F.col("frame") == 0), F.concat(ends, zero)).otherwise(ends)
+    starts = F.when(F.col("frame") == F.col("first"), F.concat(ends, zero)).otherwise(ends)
     sent = run.join(model, "scale").select("source", "segment", F.col("centre").alias("scale"), "block", "area", "rows", F.explode(starts).alias("e"))
     sent = sent.filter(F.floor(F.col("e.frame") / block) == F.col("block"))
     got = sent.groupBy(*CELL[:3], "block", F.col("e.frame").alias("frame")).agg(F.sum("e.v").alias("v"), F.sum("e.n").alias("n"), F.max("area").alias("area"), F.max("rows").alias("rows"))

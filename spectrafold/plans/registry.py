@@ -196,7 +196,7 @@ def resample_fir(spark, sf_dir):
 
 @query()
 def gammachirp_bank(spark, sf_dir):
-    got = filters.gammachirp_energy(signals(spark, sf_dir), bands=16)
+    got = filters.gammachirp_energy(signals(spark, sf_dir))
     return got.select("source", F.col("scale").cast("long").alias("scale"), "frame", r6("value"))
 
 
@@ -410,9 +410,9 @@ def calibration_model(spark, sf_dir):
 
 @query()
 def structure_features(spark, sf_dir):
-    """Pattern and tract of two textures of the plane, by a model of noise with as many scales."""
+    """Pattern and tract of all textures of the plane, by a model of noise with as many scales."""
     model, areas = calibration.calibrate(synthetic.noise_plane(spark, 64, 2000))
-    return calibration.structure(plane(spark, sf_dir), model, areas, ("f", "u")).select("feature", "scale", "frame", r6("value"))
+    return calibration.structure(plane(spark, sf_dir), model, areas).select("feature", "scale", "frame", r6("value"))
 
 
 @query()
