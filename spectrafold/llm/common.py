@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: spark.checkpoint.dir of the
-    session. Only where that is unset (tests on one machine) a local one is made."""
+    """A folder that the driver and all executors see: spark.checkpoint.dir of the session.
+    Only where that is unset and the master is local, as in tests, one of this machine is made;
+    on a cluster a missing setting is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spectrafold-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -41,6 +44,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Remove what materialize() wrote for these tables, when all that reads them is done."""
+    for t in tables:
+        folders = {f.rsplit("/", 1)[0] for f in t.inputFiles()}
+        for folder in folders:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            if "/spectrafold/" in folder:
+                path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """row (a struct of all columns) and the named columns, which thus clash with none."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of packed() again, some of them replaced."""
+    return df.select(*[((new or {}).get(c, F.col("row").getField(c))).alias(c) for c in columns])
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(c, UPPER, LOWER)

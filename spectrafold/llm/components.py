@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(now, "edges")
     seen = _sum(now)
     while seen[0]:
-        now = materialize(_star(_star(now, True), False), "edges")
+        old, now = now, materialize(_star(_star(now, True), False), "edges")
+        drop(old)
         if (new := _sum(now)) == seen:
             break
         seen = new

@@ -8,23 +8,29 @@
    so two such classes share an entry: every pair under that distance is found. At the
    similarity of 0.8 the distance of two classes is at most 23 of 60 with probability 0.9997,
    and beyond it a pair still is found unless every chunk has two differences: 1e-7.
-3. Entries with equal members count once. In every block of an entry's members each is paired
-   with the centre, the member that agrees most with the others. Pairs whose sizes or bins rule
-   the similarity out are dropped: a class also carries the smallest shingle of
-   each of BINS bins, and of the bins in use the share that agree is a sample without
-   replacement of the union, so the bound, six deviations wide, is near exact for short texts.
-   The rest are confirmed on the full sets.
+3. Entries with equal members count once. Each member of an entry is paired with its centre,
+   the smallest of them, which an aggregation finds, so no entry is ever gathered; members of
+   a group of copies share their centre in most entries, and pairs count once. Pairs are
+   confirmed on the full sets.
 4. Entries whose members are still in several components are looked at again: members outside
-   the largest component there are compared, in blocks, with all members of other components,
-   by sketches that are whole sets up to SKETCH shingles, and a link or two with each component
-   are confirmed. So no link between components is lost, while a group of mutual copies costs
-   one pair a member, not the square of the group, and near misses are not sent at all.
+   the largest component there, in blocks, are compared with all members of other components,
+   in slices, by sketches that are whole sets up to SKETCH shingles, and a link or two with each
+   component are confirmed. Pairs whose sizes or bins rule the similarity out are dropped: a
+   class also has the smallest shingle of each of BINS bins, and of the bins in use the share
+   that agree is a sample without replacement of the union, so the bound, six deviations wide,
+   is near exact for short texts. So no link between components is lost, while a group of mutual
+   copies costs one pair a member, not the square of the group, and near misses aren't sent.
 5. Links become components, and components go back to all documents.
 
+Memberships are pairs of numbers; a class's set is made from its text, which is shuffled once,
+and sketches are added to it. Sides of joins that grow with the corpus are merged by sort at any
+size, so that small inputs have the plan of large ones, and scratch tables go when they are read.
+
 Nulls and empty texts have an empty set and are linked with nothing; texts with fewer words
 than a shingle have their whole word sequence as one. A null id is a document of its own and
-is linked with nothing. Rows that repeat an id count as one document. Very long texts are
-hashed whole. Empty tables give no rows. Other columns are not read.
+is linked with nothing. Rows that repeat an id count as one document; where their texts
+differ, the text with the smallest hash is the one that links are confirmed on. Very long texts
+are hashed whole. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,21 +40,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize, small_batches, trim
 from .components import components
 
 CHUNKS, WIDTH, BITS = 12, 5, 16
 VALUES = CHUNKS * WIDTH
-BINS, BLOCK = 256, 2000
+BINS, BLOCK, SLICE = 256, 2000, 20_000
 #: Shingles up to which a sketch is the whole set; size of the flag table; links of a member with
 #: one other component that a slice gives.
 SKETCH, PER_ROOT = 1024, 2
 _FLAGS = np.zeros(1 << 20, bool)
 _TOP = np.uint64(2**64 - 1)
-CACHED = 1_000_000
+CACHED = 200_000
 _ODD = np.random.default_rng(20240229).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.random.default_rng(7).integers(1, 2**63, VALUES, dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -100,13 +106,6 @@ def bins(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pass(n1, bins1, n2, bins2, percent: int) -> np.ndarray:
-    """Which rows of the first and second arrays may be similar enough. Signatures have no say:
-    pairs that share an entry can differ in more values than most do and be similar still."""
-    ok = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-    return ok & _bins_pass(n1, bins1, n2, bins2, percent)
-
-
 def _bins_pass(n1, bins1, n2, bins2, percent: int) -> np.ndarray:
     p = percent / 100
     used = ((bins1 | bins2) > 0).sum(axis=-1)
@@ -119,18 +118,19 @@ def _features(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for b in batches:
-            size, one, two, sig, low = [], [], [], [], []
+            size, one, two, sig = [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), n, known)
                 size.append(len(s))
                 one.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(np.bitwise_xor.reduce(s * _M2 ^ (s >> np.uint64(31)), dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 sig.append(signature(s).tobytes() if len(s) else None)
-                low.append(bins(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["id", "n", "f1", "f2", "sig", "bins"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "f1", "f2", "sig"])
+        known.clear()
+        trim()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary, bins binary")
+    return slim.mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary")
 
 
 def _entries(classes: DataFrame) -> DataFrame:
@@ -153,13 +153,6 @@ def _entries(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
-def _arrays(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-    out = {c: b.column(c).to_numpy() for c in b.schema.names if c not in ("sig", "bins")}
-    out["sig"] = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, VALUES)
-    out["bins"] = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
-    return out
-
-
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
@@ -170,41 +163,6 @@ def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(at, [*at[1:], len(keys[0])])
 
 
-def _centres(members: DataFrame, percent: int) -> DataFrame:
-    """Each member with the centre of its block, where they pass. members: key, rep, n, sig,
-    bins; rows of a key come together. A block is what of a key stands in one batch, at most
-    BLOCK rows; blocks of a key are chained by their centres."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key and centre of the block before
-        for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK):
-                x = _arrays(batch.slice(lo, BLOCK))
-                a, b = [], []
-                for i, j in _runs(x["key"]):
-                    sig = x["sig"][i:j]
-                    mid = 0
-                    if j - i > 2:
-                        order = np.sort(sig, axis=0)
-                        mode = order[(j - i) // 2]  # the value of a majority, where there is one
-                        mid = int((sig == mode).sum(axis=1).argmax())
-                    c = i + mid
-                    one = {k: v[c : c + 1] for k, v in x.items()}
-                    if last is not None and last["key"][0] == one["key"][0]:
-                        if _pass(last["n"], last["bins"], one["n"], one["bins"], percent)[0] and last["rep"][0] != one["rep"][0]:
-                            a.append(last["rep"])
-                            b.append(one["rep"])
-                    ok = _pass(x["n"][i:j], x["bins"][i:j], one["n"], one["bins"], percent)
-                    ok[mid] = False
-                    a.append(x["rep"][i:j][ok])
-                    b.append(np.full(int(ok.sum()), one["rep"][0]))
-                    last = one
-                if a:
-                    yield _pairs(np.concatenate(a), np.concatenate(b))
-
-    return members.select("key", "rep", "n", "sig", "bins").mapInArrow(run, "a long, b long").distinct()
-
-
 def sketch(s: np.ndarray) -> bytes:
     """The upper halves of a set's hashes; of a set of over SKETCH those below a power of two
     that leaves about SKETCH, so that two sketches are samples by one rule."""
@@ -218,24 +176,28 @@ def _level(n: int) -> int:
 def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """id, s (the full set) of the documents with these ids. Texts are shuffled here, once, and
     nowhere else."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    one = texts.join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), n, known).tobytes() for t in b.column(1)], pa.binary())], names=["id", "s"])
+        known.clear()
+        trim()
 
-    return texts.mapInArrow(run, "id long, s binary").dropDuplicates(["id"])
+    return one.mapInArrow(run, "id long, s binary")
 
 
 def _sketches(ids: DataFrame, sets: DataFrame) -> DataFrame:
-    """rep, sketch of the documents with these ids."""
+    """rep, n, bins, sketch of the documents with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(np.frombuffer(x.as_buffer(), np.uint64)) for x in b.column(1)], pa.binary())], names=["rep", "sketch"])
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([bins(s).tobytes() for s in own], pa.binary()), pa.array([sketch(s) for s in own], pa.binary())], names=["rep", "n", "bins", "sketch"])
 
-    return sets.mapInArrow(run, "rep long, sketch binary").join(ids, "rep", "left_semi")
+    return sets.join(ids.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(run, "rep long, n long, bins binary, sketch binary")
 
 
 class Slice:
@@ -276,8 +238,8 @@ class Slice:
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of a block of members outside the largest component with members of others. rows:
-    key, block, side (0: the block, 1: all members), rep, root, n, bins, sketch, in this order,
-    so a block is held and the rest streams past it. Of the links of a member with one other
+    key, block, slice, side (0: the block, 1: the members of the slice), rep, root, n, bins,
+    sketch, in this order, so a block is held and the slice streams past it. Of the links of a member with one other
     component in a slice, PER_ROOT of those where both sketches are whole sets are enough; of
     the others, which may be refuted on full sets, all go."""
 
@@ -286,13 +248,13 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(lo, BLOCK)
-                x = {c: part.column(c).to_numpy() for c in ("key", "block", "side", "minor", "rep", "root", "n")}
+                x = {c: part.column(c).to_numpy() for c in ("key", "block", "slice", "side", "minor", "rep", "root", "n")}
                 x["bins"] = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
                 all_blobs = part.column("sketch").to_pylist()
                 a, b = [], []
-                for i, j in _runs(x["key"], x["block"], x["side"]):
+                for i, j in _runs(x["key"], x["block"], x["slice"], x["side"]):
                     now = {k: v[i:j] for k, v in x.items()}
-                    name = (int(now["key"][0]), int(now["block"][0]))
+                    name = (int(now["key"][0]), int(now["block"][0]), int(now["slice"][0]))
                     if now["side"][0] == 0:
                         if at == name:
                             held, blobs = {k: np.concatenate([held[k], v]) for k, v in now.items()}, blobs + all_blobs[i:j]
@@ -321,7 +283,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                 if a:
                     yield _pairs(np.concatenate(a), np.concatenate(b))
 
-    return rows.select("key", "block", "side", "minor", "rep", "root", "n", "bins", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "block", "slice", "side", "minor", "rep", "root", "n", "bins", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirm(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
@@ -337,42 +299,49 @@ def _confirm(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(made.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(made.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
+    both = pairs.join(made.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b").join(made.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a")
     return both.select("a", "b", "s_a", "s_b").mapInArrow(test, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """id_col, n_shingles, component_id, kept for every row of docs."""
+    """id_col, n_shingles, component_id, kept for every row of docs. Arrow batches are small
+    ones, since rows hold whole sets."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col, shingle, percent)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     feats = materialize(_features(docs, id_col, text_col, shingle), "features")
     same = ["n", "f1", "f2"]
-    classes = materialize(feats.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bins").alias("bins")), "classes")
-    w = Window.partitionBy("key")
-    shared = _entries(classes).withColumn("members", F.count(F.lit(1)).over(w)).withColumn("who", F.bit_xor(F.xxhash64("rep")).over(w))
-    shared = materialize(shared.filter("members > 1"), "shared")
-    once = shared.groupBy("members", "who").agg(F.min("key").alias("key")).select("key")
-    members = materialize(shared.join(once, "key", "left_semi").join(classes.select("rep", "n", "sig", "bins"), "rep"), "members")
+    classes = materialize(feats.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    entries = _entries(classes)
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.min("rep").alias("centre")).filter("members > 1")
+    once = shared.groupBy("members", "who").agg(F.min("key").alias("key"), F.min("centre").alias("centre"))
+    members = materialize(entries.join(once.drop("who").hint("merge"), "key"), "members")
 
     sets = materialize(_sets(members.select(F.col("rep").alias("id")).distinct(), docs, id_col, text_col, shingle), "sets")
-    tried = materialize(_centres(members.repartition("key").sortWithinPartitions("key", "rep"), percent), "centres")
+    tried = materialize(members.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "tried")
     links = materialize(_confirm(tried, sets, percent), "links")
-    roots = components(links)
+    first = components(links)
 
-    named = members.filter("members > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    named = materialize(named.select("key", "rep", "root", "n", "bins"), "named")
+    named = members.filter("members > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("major"), (F.sum("c") - F.max("c")).alias("others")).filter("roots > 1")
-    mixed = mixed.select("key", "major", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
-    again = materialize(named.join(mixed, "key").withColumn("minor", (F.col("root") != F.col("major")).cast("int")), "again")
-    again = again.join(_sketches(again.select("rep").distinct(), sets), "rep")
-    held = again.filter("minor = 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
-    passing = again.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    rows = held.unionByName(passing).repartition("key", "block").sortWithinPartitions("key", "block", "side")
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all")).filter("roots > 1")
+    mixed = mixed.select("key", "major", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / SLICE).cast("int").alias("slices"))
+    again = materialize(named.join(mixed, "key").withColumn("minor", (F.col("root") != F.col("major")).cast("int")).drop("major"), "again")
+    drawn = again.join(_sketches(again.select("rep").distinct(), sets), "rep")
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = drawn.filter("minor = 1").withColumn("block", at("blocks")).withColumn("slice", every("slices")).withColumn("side", F.lit(0))
+    passing = drawn.withColumn("slice", at("slices")).withColumn("block", every("blocks")).withColumn("side", F.lit(1))
+    rows = held.unionByName(passing).repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "side")
     more = materialize(_across(rows, percent).join(tried, ["a", "b"], "left_anti"), "more")
-    links = links.unionAll(_confirm(more, sets, percent))
-    roots = components(links)
+    found = materialize(links.unionAll(_confirm(more, sets, percent)), "links")
+    drop(members, sets, tried, links, first, again, more)
+    roots = components(found)
 
-    named = classes.select(*[F.col(c).alias(f"__{c}") for c in same], "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    by = (feats.n == F.col("__n")) & (feats.f1 == F.col("__f1")) & (feats.f2 == F.col("__f2")) & feats.id.isNotNull()
+    named = classes.select(*[F.col(c).alias(f"own_{c}") for c in same], "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    by = (feats.n == F.col("own_n")) & (feats.f1 == F.col("own_f1")) & (feats.f2 == F.col("own_f2")) & feats.id.isNotNull()
     got = feats.join(named, by, "left")
     root = F.coalesce("root", "rep", "id")
     return got.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept"))
