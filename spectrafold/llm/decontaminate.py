@@ -1,10 +1,10 @@
 """Benchmark decontamination by a broadcast set of hashed n-grams.
 
-The windows of all benchmark items are hashed; a document's windows are scanned against that
-set, hits are verified word by word, and spans or whole documents go. The set travels with
-the plan while it has at most MOST_GRAMS hashes, counted first; beyond that the windows are
-joined to the grams and Spark picks the join by size. Only document windows that hit are
-ever exploded in the first case.
+The windows of all benchmark items are hashed. The hashes travel as broadcast tables of at
+most MOST_GRAMS each: one for most benchmarks, more of them, each with a scan of its own, for
+larger ones, so the path is the same at any size and no broadcast grows. A document's windows
+are scanned against them, hits are verified word by word, and spans or whole documents go.
+Windows are made, hashed and looked up as they are generated; only hits are ever shuffled.
 
 Words are runs of ASCII letters and digits and of any non-ASCII character, A-Z lower-cased.
 A window is `width` consecutive words of an item; an item with fewer words, but not none, is
@@ -12,19 +12,26 @@ one window. Main path: DataFrame expressions only.
 
 Nulls: a null text has no words and is never contaminated; a null item is ignored; null ids
 are values like any other. Repeated rows of a document get the same result each; repeated
-items count once. Empty tables: no hits, or no rows. Other columns are not read by scan()
-and pass through clean() as they are.
+items count once. Empty tables: no hits, or no rows. Very long texts cost in proportion to
+their length, in scan() and in clean(). Other columns are not read by scan() and pass through
+clean() as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, let, materialize, packed, unpacked
 
-MOST_GRAMS = 200_000
+MOST_GRAMS = 1_000_000
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: words of text that isn't lower-cased yet
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: between a gap and the word after it
+STARTS = r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[0-9A-Za-z\x{80}-\x{10FFFF}])"
 
 
 def tokens(text: Column) -> Column:
@@ -39,48 +46,27 @@ def grams(items: DataFrame, width: int = 13, id_col: str = "item_id", text_col:
     return each.groupBy("gram").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")).select(F.xxhash64("gram").alias("h"), F.size("gram").alias("len"), "gram", "item_ids")
 
 
-def _windows(ws: Column, n: int) -> Column:
-    """First positions, from 1, of the windows of n words."""
-    return F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-
-
-def _in(n: int, hashes: list[int]):
-    return lambda i: F.xxhash64(F.slice("__w", i, n)).isin(hashes)
-
-
-def _hit(n: int):
-    return lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"))
-
-
 def scan(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", most_grams: int = MOST_GRAMS) -> DataFrame:
-    """id_col, text_hash, n_words, hits (array of (at, len), positions from 1, in order) and
-    item_ids: one row for each different document row."""
-    known = grams(items, width)
-    # at most `width` lengths, and at most most_grams + 1 hashes
-    hashes: dict[int, list[int]] = {}
-    some = known.select("len", "h").distinct().limit(most_grams + 1).collect()
-    for n, h in some:
-        hashes.setdefault(n, []).append(h)
-    lengths = sorted(hashes) if len(some) <= most_grams else sorted(r[0] for r in known.select("len").distinct().collect())
-    slim = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__hash"), tokens(F.col(text_col)).alias("__w"))
-    parts = []
+    """id_col, text_hash, hits (array of (at, len), positions from 1, in order) and item_ids: one
+    row for each different document row with a hit."""
+    known = materialize(grams(items, width), "grams")
+    # two numbers, and at most `width` lengths
+    blocks = max(1, -(-known.select("h").distinct().count() // most_grams))
+    lengths = sorted(r[0] for r in known.select("len").distinct().collect())
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), tokens(F.col(text_col)).alias("w"))
+    found = []
     for n in lengths:
-        at = _windows(F.col("__w"), n)
-        if len(some) <= most_grams:
-            at = F.filter(at, _in(n, hashes[n]))
-        parts.append(F.transform(at, _hit(n)))
-    found = F.concat(*parts) if parts else F.expr("cast(array() as array<struct<at:int,len:int>>)")
-    key = ["__id", "__hash", "__n"]
-    slim = slim.select("__id", "__hash", F.size("__w").cast("long").alias("__n"), "__w", found.alias("__found"))
-    each = slim.select(*key, "__w", F.explode_outer("__found").alias("f")).select(*key, "f", F.slice("__w", F.col("f.at"), F.col("f.len")).alias("__gram"))
-    each = each.withColumn("__h", F.xxhash64("__gram"))
-    g = known.select(F.col("h").alias("__gh"), F.col("gram").alias("__known"), "item_ids")
-    if len(some) <= most_grams:
-        g = F.broadcast(g)
-    got = each.join(g, (F.col("__h") == F.col("__gh")) & (F.col("__gram") == F.col("__known")), "left")
-    hit = F.col("__gh").isNotNull()
-    out = got.groupBy(*key).agg(F.array_sort(F.collect_set(F.when(hit, F.col("f")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("item_ids")))))).alias("item_ids"))
-    return out.select(F.col("__id").alias(id_col), F.col("__hash").alias("text_hash"), F.col("__n").alias("n_words"), "hits", "item_ids")
+        each = slim.filter(F.size("w") >= n).select("id", "t", "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("at"))
+        each = each.withColumn("h", F.xxhash64(F.slice("w", F.col("at"), F.lit(n))))
+        for k in range(blocks):
+            some = known.filter((F.col("len") == n) & (F.pmod("h", F.lit(blocks)) == k)).select(F.col("h").alias("gram_h")).distinct()
+            hit = each.join(F.broadcast(some), F.col("h") == F.col("gram_h"))
+            found.append(hit.select("id", "t", "at", F.lit(n).alias("len"), "h", F.slice("w", F.col("at"), F.lit(n)).alias("words")))
+    if not found:
+        found = [slim.filter(F.lit(False)).select("id", "t", F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("h"), F.col("w").alias("words"))]
+    hits = reduce(DataFrame.unionAll, found).join(known.select("h", F.col("gram").alias("words"), "item_ids"), ["h", "words"])
+    out = hits.groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
+    return out.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), "hits", "item_ids")
 
 
 def covered(hits: Column) -> Column:
@@ -94,23 +80,34 @@ def covered(hits: Column) -> Column:
 
 
 def report(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", most_grams: int = MOST_GRAMS) -> DataFrame:
-    """scan() with n_hit and contaminated (a twentieth of the words or more are hit); a row
-    for every row of docs, repeated ones included."""
-    got = scan(docs, items, width, id_col, text_col, most_grams).withColumn("n_hit", covered(F.col("hits")))
-    got = got.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    keyed = docs.select(F.col(id_col).alias("__k"), F.xxhash64(F.col(text_col).cast("string")).alias("__t"))
-    return keyed.join(got, F.col("__k").eqNullSafe(F.col(id_col)) & (F.col("__t") == F.col("text_hash"))).drop("__k", "__t")
+    """id_col, n_words, hits, item_ids, n_hit and contaminated (a twentieth of the words or more
+    are hit) for every row of docs, repeated ones included."""
+    got = scan(docs, items, width, id_col, text_col, most_grams).select(F.col(id_col).alias("hit_id"), "text_hash", "hits", "item_ids")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("own_hash"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"))
+    got = rows.join(got, F.col(id_col).eqNullSafe(F.col("hit_id")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    none = F.expr("cast(array() as array<string>)")
+    got = got.select(id_col, "n_words", "hits", F.coalesce("item_ids", none).alias("item_ids"), F.coalesce(covered(F.col("hits")), F.lit(0)).cast("long").alias("n_hit"))
+    return got.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def _without(text: Column, hits: Column) -> Column:
+    """text without the words that hits cover and the gap after each. The text is split once
+    and words are taken by their number, so the cost is in proportion to the length."""
+    gone = F.array_distinct(F.flatten(F.transform(hits, lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))
+    # each part is a word with the gap after it, numbered as words are; one before them, a gap alone, is 0
+    first = lambda p: F.when(F.get(p, F.lit(0)).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), 1).otherwise(0)
+    keep = lambda p, a: F.transform(F.array_except(F.sequence(a, a + F.size(p) - 1), gone), lambda i: F.get(p, i - a))
+    return let(F.split(text, STARTS), lambda p: let(first(p), lambda a: F.array_join(keep(p, a), "")))
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", most_grams: int = MOST_GRAMS) -> DataFrame:
     """docs without contaminated documents; in others the words that were hit are cut out of
     the text, with what stands between them. Documents without a hit are unchanged."""
-    got = scan(docs, items, width, id_col, text_col, most_grams).filter(F.size("hits") > 0).withColumn("n_hit", covered(F.col("hits")))
-    got = got.select(F.col(id_col).alias("__k"), F.col("text_hash").alias("__t"), F.col("hits").alias("__hits"), (20 * F.col("n_hit") >= F.col("n_words")).alias("__bad"))
-    joined = docs.join(got, docs[id_col].eqNullSafe(F.col("__k")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__t")), "left")
-    # each part is a word with the gap after it; the first may be a gap alone
-    parts = F.split(docs[text_col], r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[0-9A-Za-z\x{80}-\x{10FFFF}])")
-    first = F.when(F.get(parts, F.lit(0)).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(1)).otherwise(F.lit(0))
-    cut = F.array_join(F.filter(parts, lambda p, i: ~F.exists("__hits", lambda x: (i + first >= x["at"]) & (i + first < x["at"] + x["len"]))), "")
-    kept = joined.filter(~F.coalesce("__bad", F.lit(False)))
-    return kept.select(*[F.when(F.col("__hits").isNull(), docs[c]).otherwise(cut).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    got = scan(docs, items, width, id_col, text_col, most_grams).select(F.col(id_col).alias("hit_id"), "text_hash", "hits")
+    rows = packed(docs, own_id=F.col(id_col), own_hash=F.xxhash64(F.col(text_col).cast("string")))
+    both = rows.join(got, F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    text = F.col("row").getField(text_col)
+    bad = F.col("hits").isNotNull() & (20 * covered(F.col("hits")) >= F.regexp_count(text.cast("string"), F.lit(WORD)))
+    cut = F.when(F.col("hits").isNull(), text).otherwise(_without(text.cast("string"), F.col("hits")))
+    return unpacked(both.filter(~F.coalesce(bad, F.lit(False))), docs.columns, {text_col: cut})

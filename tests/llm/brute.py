@@ -39,6 +39,24 @@ def decontaminate(text, items, width=13):
     return len(ws), len(hit), len(got), ids, bool(hit) and 20 * len(hit) >= len(ws)
 
 
+def cut(text, items, width=13):
+    """text without the words that are hit and the gap after each."""
+    low = lower(text or "")
+    at, hit = [(m.start(), m.end()) for m in TOKEN.finditer(low)], set()
+    ws = [low[a:z] for a, z in at]
+    for _, t in items:
+        iw = TOKEN.findall(lower(t or ""))
+        n = min(width, len(iw))
+        grams = {tuple(iw[i : i + n]) for i in range(len(iw) - n + 1)} if n else set()
+        for i in range(len(ws) - n + 1) if n else ():
+            if tuple(ws[i : i + n]) in grams:
+                hit |= set(range(i, i + n))
+    if not hit:
+        return text
+    ends = [a for a, _ in at[1:]] + [len(text)]
+    return text[: at[0][0]] + "".join(text[at[i][0] : ends[i]] for i in range(len(at)) if i not in hit)
+
+
 def shingles(text, n):
     ws = WORD.findall(lower(text or ""))
     if not ws:

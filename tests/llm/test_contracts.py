@@ -4,7 +4,9 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from spectrafold.llm import chat, decontaminate
 from spectrafold.llm import queries as Q
 
 from . import brute
@@ -84,3 +86,53 @@ def test_decontamination(spark, docs):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in Q.op10_decontamination(spark, SF).collect()}
     assert got == {i: brute.decontaminate(t, items) for i, t in docs}
     assert any(v[4] for v in got.values())
+
+
+def test_decontamination_in_blocks_and_cut_texts(spark, docs):
+    """Several broadcast blocks give the same report; clean() cuts the very words that are hit."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    g = items[0][1]
+    rows = [(1, f"{'x ' * 400}.  {g}! Tail, end", 0), (2, f"{'y ' * 400}{g} {g.upper()} z", 1), (3, g, 2), (4, None, 3), (5, "", 4), (6, " . " + " ".join(f"w{i}" for i in range(300)), 5), (1, f"{'x ' * 400}.  {g}! Tail, end", 6), (None, "of no id " * 9, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __k int").withColumn("__t", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("a.b", F.lit(2))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = [(i, k, brute.cut(t, items)) for i, t, k in rows if not brute.decontaminate(t, items)[4]]
+    for most in (1_000_000, 100):
+        got = decontaminate.clean(frame, bench, most_grams=most)
+        assert got.columns == frame.columns
+        assert sorted(((r["doc_id"], r["__k"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    every = {r.doc_id: (r.n_words, r.n_hit, len(r.item_ids), r.contaminated) for r in decontaminate.report(spark.read.parquet(f"{SF}/documents.parquet"), bench, most_grams=500).collect()}
+    assert every == {i: (*(v := brute.decontaminate(t, items))[:3], v[4]) for i, t in docs}
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert decontaminate.report(none, bench).collect() == [] and decontaminate.clean(none, bench).collect() == []
+    assert {r.n_hit for r in decontaminate.report(frame, bench.limit(0)).collect()} == {0}
+
+
+def test_cutting_costs_in_proportion_to_the_text(spark):
+    """A text four times as long may not take far more than four times as long."""
+    import time
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    hit, took = bench.first().text, []
+    for n in (100_000, 100_000, 400_000):
+        frame = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)) + " " + hit)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert len(decontaminate.clean(frame, bench).first().text) > 5 * n
+        took.append(time.perf_counter() - began)
+    assert took[2] < 8 * took[1]
+
+
+def test_chat_masks_and_odd_roles(spark):
+    """Roles with line feeds and control strings read back; the mask covers assistant texts only,
+    and one that is moved by a character is not the same text."""
+    rows = [(1, 0, "a\nb", "x"), (1, 1, "assistant", "yes <|im_end|> & &amp; &nl;"), (1, 2, "assistant", ""), (1, 2, "assistant", None), (1, 3, "&nl;", "n\n"), (1, 4, "assistant", "last 😀!"), (2, 0, None, None), (None, None, "assistant", "z"), (None, None, "assistant", "z")]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("formatted", F.lit(1)))
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length")))
+    out = {r.conv_id: r for r in got.select("conv_id", "formatted", "loss_spans", chat.read_chat(F.col("formatted")).alias("back"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), chat.loss_text(F.col("formatted"), moved).alias("moved")).collect()}
+    for conv in (1, 2, None):
+        turns = sorted(((t or 0, r or "", x or "") for c, t, r, x in rows if c == conv))
+        assert [(t.role, t.text) for t in out[conv].back] == [x[1:] for x in turns]
+        want = "".join(x for _, r, x in turns if r == "assistant")
+        assert out[conv].loss == want and len(out[conv].loss_spans) == sum(r == "assistant" for _, r, _ in turns)
+        assert not want or out[conv].moved != want
+        assert all(out[conv].formatted[a : a + n].count("<|") == 0 for a, n in out[conv].loss_spans)
+    assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).collect() == []
