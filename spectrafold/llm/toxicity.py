@@ -35,9 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 MOST_ROWS, MOST_FEATURES = 8_000, 20_000
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
+#: Words whose features a task remembers.
+CACHED = 100_000
 #: Numbers of occurrences from which a feature may count.
 LEVELS = 4
 
@@ -80,7 +84,7 @@ class Model:
         for w in WORD.findall((text or "").lower()):
             got = known.get(w)
             if got is None:
-                if len(known) > 500_000:
+                if len(known) > CACHED:
                     known.clear()
                 got = known[w] = tuple(f for f in features_of(w) if any(at_level(f, k) in self.weights for k in range(1, LEVELS + 1)))
             if got:
@@ -199,6 +203,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             got = [model.severity(t.as_py(), known) for t in b.column(1)]
             sev, p = [round(x, 4) for x, _ in got], [round(x, 4) for _, x in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sev, pa.float64()), pa.array(p, pa.float64()), pa.array([int(x + 0.5) for x in sev], pa.int32()), pa.array([x >= reject for x in p], pa.bool_())], names=[id_col, "expected_severity", "p_toxic", "grade", "rejected"])
+        known.clear()
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, expected_severity double, p_toxic double, grade int, rejected boolean")
@@ -213,5 +219,8 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject: fl
         known: dict[str, tuple] = {}
         for b in batches:
             yield b.filter(pa.array([round(model.severity(t.as_py(), known)[1], 4) < reject for t in b.column(at)], pa.bool_()))
+        known.clear()
+        trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots aren't found by name
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

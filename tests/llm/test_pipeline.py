@@ -48,3 +48,27 @@ def test_odd_rows(spark):
     for doc, total in ((0, 1), (1, 1), (2, 1), (3, 4)):
         own = sorted((r.start, r.length) for r in got if (r.doc_id or 0) == doc)
         assert [s for s, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) == total
+
+
+def test_empty_tables_clashing_columns_ties_and_long_texts(spark):
+    """Every stage on an empty table, and on repeated rows, ids with two texts, a very long text
+    and columns named as the stages' own are."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([], kinds)
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(1, "one two three four five six", "en", "s", 0), (1, "one two three four five six", "en", "s", 0), (1, "quite another text of one id", "en", "s", 0), (2, long, "en", "s", 0), (3, None, "en", "s", 0), (None, "no id here at all", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, kinds).selectExpr("*", "1 as __k", "2 as __t", "3 as row", "4 as id", "5 as t", "6 as hits", "map('a', 1) as kept", "7 as `a.b`")
+    for name, stage in corpus_pipeline.STAGES:
+        none = materialize(stage(spark, none, SF), "none")
+        assert none.collect() == []
+        if name == "packing":
+            break
+        before = docs.columns
+        docs = materialize(stage(spark, docs, SF), name)
+        assert docs.columns == before
+        got = docs.collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in got if r["doc_id"] in (None, 2)) == [(0, "no id here at all"), (2, long)]
+        # two texts under an id are two documents, of which repeated rows are one from the second stage on
+        assert sum(r["doc_id"] == 1 for r in got) == (3 if name == "toxicity" else 2) and all(r["a.b"] == 7 for r in got)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == {None, 1, 2, 3}
