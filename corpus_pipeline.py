@@ -4,7 +4,10 @@ Each stage works on all that the one before it kept and returns the columns of d
 the last returns the packed pieces. Near-duplicates take five words and a similarity of 0.8.
 
 Rows with a null id or text pass every filter (a null text is not toxic, repeats nothing and
-holds no benchmark window) and are packed as empty texts. Empty tables give no rows."""
+holds no benchmark window) and are packed as empty texts. Of rows that repeat an id and its text
+one stays; of ties within a group of near-duplicates the smallest id. Very long texts are worked
+on whole. Other columns, whatever their names, pass through all stages but the last, which
+doesn't read them. Empty tables give no rows."""
 
 from __future__ import annotations
 
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrafold.llm import decontaminate, neardup, packing, repeats, toxicity
-from spectrafold.llm.common import materialize, table
+from spectrafold.llm.common import materialize, packed, table, unpacked
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +24,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of rows that
-    repeat an id, one."""
+    """The document with the smallest id of each group of near-duplicates. Rows with a null id
+    stay; of rows that repeat an id and its text, one stays."""
     kept = neardup.near_duplicates(docs, shingle=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    rows = packed(docs, doc_id=F.col("doc_id"), t=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    one = rows.join(kept.hint("merge"), "doc_id", "left_semi").groupBy("doc_id", "t").agg(F.first("row").alias("row"))
+    return unpacked(one.select("row").unionAll(rows.filter("doc_id is null").select("row")), docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
