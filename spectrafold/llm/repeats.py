@@ -11,20 +11,24 @@ repeats as a whole is set aside first, both exactly, and only the rest is transf
    smallest id (the others are known to repeat), so a passage in a third of all documents is
    sent once a block. A bucket answers: the context as a whole also stands in a smaller
    document; or the anchor has several contexts and this text owns the first of one that goes on
-   like another for 16 bytes to the left or to the right, as a match of WIDTH bytes must.
+   like another for 16 bytes to the left or to the right, as a match of WIDTH bytes must. Answers
+   go back in one row for each bucket and range of documents, and ranges gather them.
 3. Owned contexts are cut out and meet in buckets by anchor. Every block there is a shard
    with a transform of its own; the shards are merged by interleave refinement, and the
    intervals with a common prefix of WIDTH bytes give the smallest id of each window.
 4. The spans of a document are united and cut from its bytes.
 
-Hashes of contexts have 48 bits besides the 32 and more of their anchor's; only if both agree
+Only spans are kept between the steps; texts are shuffled where contexts are cut out and where
+spans are, and scratch tables go when they are read. Hashes of contexts have 48 bits besides the 32 and more of their anchor's; only if both agree
 for different contexts would there be a false repeat. Other hashes only group.
 
 Nulls: a null text is empty; a document with a null id is left whole and makes no other one
 shorter. Repeated rows get the same result each; rows of one id with different texts are
 separate texts that don't shorten one another. Texts shorter than WIDTH bytes stay. Very long
-texts are read in segments. Empty tables give no rows. Other columns are not read. Memory: an
-Arrow batch and its anchors, or a bucket; buckets are as many as the input asks for.
+texts are read in segments. Empty tables give no rows. Other columns are not read by report() and
+pass through remove() as they are, whatever their names. Memory: an Arrow batch and its anchors,
+or a bucket; buckets are as many as the input asks for. An anchor that very many documents hold,
+each in a context of its own, stays in one bucket.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bwt
-from .common import materialize, small_batches, trim
+from .common import drop, materialize, packed, small_batches, trim, unpacked
 
 WIDTH, GRAM = 50, 18
 SIDE = WIDTH - GRAM
@@ -122,20 +126,53 @@ def _unsix(x: bytes) -> np.ndarray:
 
 _SENT = "bucket int, a binary, ctx binary, sides binary, doc binary, pos binary, ids binary, ts binary"
 _REPLY = "id long, t long, marks binary"
-
-
-def _marks(doc: np.ndarray, pos: np.ndarray, kind: np.ndarray, ids: np.ndarray, ts: np.ndarray) -> pa.RecordBatch:
-    """One row for each document: positions times two, plus kind (0: the whole context
-    repeats, 1: send the context)."""
-    order = np.argsort(doc, kind="stable")
-    doc, packed = doc[order], (pos[order].astype("<u8") * 2 + kind[order].astype("<u8"))
-    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
-    ends = [*at[1:].tolist(), len(doc)]
-    return pa.RecordBatch.from_arrays([pa.array(ids[doc[at]], pa.int64()), pa.array(ts[doc[at]], pa.int64()), pa.array([packed[i:j].tobytes() for i, j in zip(at.tolist(), ends)], pa.binary())], names=["id", "t", "marks"])
+_GROUPED = "range int, ids binary, ts binary, sizes binary, marks binary"
+
+
+def _ranges(ids: np.ndarray, ts: np.ndarray, n: int) -> np.ndarray:
+    """The range of documents, of n, that each belongs to."""
+    h = (ids.astype(np.uint64) * _P[0] ^ ts.astype(np.uint64)) * _P[1]
+    return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def _by_document(ids: np.ndarray, ts: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """ids, ts, first marks of the documents, and all marks in order, each once."""
+    order = np.lexsort((marks, ts, ids))
+    ids, ts, marks = ids[order], ts[order], marks[order]
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (ts[1:] != ts[:-1])])[: len(ids)]
+    keep = new.copy()
+    keep[1:] |= marks[1:] != marks[:-1]
+    first = np.flatnonzero(new[keep])
+    return ids[new], ts[new], first, marks[keep]
+
+
+def _marks(ids: np.ndarray, ts: np.ndarray, pos: np.ndarray, kind: np.ndarray, ranges: int) -> pa.Table:
+    """Answers by range: documents, and for each its positions times two, plus kind (0: the whole
+    context repeats, 1: send the context)."""
+    ids, ts, first, marks = _by_document(ids, ts, pos.astype("<u8") * np.uint64(2) + kind.astype("<u8"))
+    size = np.diff(np.append(first, len(marks)))
+    r = _ranges(ids, ts, ranges)
+    order = np.argsort(r, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], r[order][1:] != r[order][:-1]])) if len(r) else np.empty(0, np.int64)
+    rows = []
+    for i, j in zip(at.tolist(), [*at[1:].tolist(), len(r)]):
+        own = order[i:j]
+        blob = b"".join(marks[first[k] : first[k] + size[k]].tobytes() for k in own.tolist())
+        rows.append((int(r[own[0]]), ids[own].astype("<i8").tobytes(), ts[own].astype("<i8").tobytes(), size[own].astype("<u4").tobytes(), blob))
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["range", "ids", "ts", "sizes", "marks"])
+
+
+def _gather(t: pa.Table) -> pa.Table:
+    """A row for each document of a range, with all its marks."""
+    ids, ts, size, marks = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("ids", "<i8"), ("ts", "<i8"), ("sizes", "<u4"), ("marks", "<u8")))
+    ids, ts, first, marks = _by_document(np.repeat(ids, size), np.repeat(ts, size), marks)
+    ends = [*first[1:].tolist(), len(marks)]
+    return pa.table([pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array([marks[i:j].tobytes() for i, j in zip(first.tolist(), ends)], pa.binary())], names=["id", "t", "marks"])
 
 
 def _send(texts: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of anchors by bucket. Buckets from `buckets` on hold ready replies instead."""
+    """Blocks of anchors by bucket. Buckets below 0 hold ready answers of range -1 - bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +187,11 @@ def _send(texts: DataFrame, buckets: int) -> DataFrame:
 
     def block(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, ts = b.column(0).to_numpy(), b.column(1).to_numpy()
-        got = []
+        got, seen = [], set()
         for k, x in enumerate(b.column(2)):
+            if (who := (ids[k], ts[k])) in seen:
+                continue  # a repeated row
+            seen.add(who)
             own = anchors(x.as_py())
             if len(own[0]):
                 got.append((np.full(len(own[0]), k, np.uint16), *own))
@@ -168,13 +208,8 @@ def _send(texts: DataFrame, buckets: int) -> DataFrame:
         least = ids[doc][order][first]
         known = np.zeros(len(doc), bool)
         known[order] = least < ids[doc][order]
-        m = _marks(doc[known], pos[known], np.zeros(int(known.sum()), np.uint8), ids, ts)
-        if m.num_rows:
-            part = np.abs(m.column(1).to_numpy() >> 7) % buckets
-            for k in np.unique(part).tolist():
-                some = m.filter(pa.array(part == k))
-                size = [len(x) for x in some.column(2).to_pylist()]
-                yield _row(buckets + k, b"".join(some.column(2).to_pylist()), b"", b"", np.array(size, "<u4").tobytes(), b"", some.column(0).to_numpy(), some.column(1).to_numpy())
+        for r, i, t, size, marks in zip(*(c.to_pylist() for c in _marks(ids[doc[known]], ts[doc[known]], pos[known], np.zeros(int(known.sum()), np.uint8), buckets).columns)):
+            yield _row(-1 - r, marks, b"", b"", size, b"", i, t)
         # contexts that repeat within one document are sent for each place, for their replies
         keep = np.flatnonzero(~known)
         # places beyond 64 KiB go apart, so that the others need two bytes each
@@ -187,10 +222,10 @@ def _send(texts: DataFrame, buckets: int) -> DataFrame:
             used, idx = np.unique(doc[at], return_inverse=True)
             wide = "<u2" if k % 2 == 0 else "<u4" if pos[at].max() < 2**32 else "<u8"
             sides = left[at].astype("<u2").tobytes() + right[at].astype("<u2").tobytes()
-            yield _row(k // 2, h[at].astype("<u4").tobytes(), _six(ctx[at]), sides, idx.astype("<u2").tobytes(), pos[at].astype(wide).tobytes(), ids[used], ts[used])
+            yield _row(k // 2, h[at].astype("<u4").tobytes(), _six(ctx[at]), sides, idx.astype("<u2").tobytes(), pos[at].astype(wide).tobytes(), ids[used].astype("<i8").tobytes(), ts[used].astype("<i8").tobytes())
 
-    def _row(k: int, a: bytes, ctx: bytes, sides: bytes, doc: bytes, pos: bytes, ids: np.ndarray, ts: np.ndarray) -> pa.RecordBatch:
-        cols = [[k], [a], [ctx], [sides], [doc], [pos], [ids.astype("<i8").tobytes()], [ts.astype("<i8").tobytes()]]
+    def _row(k: int, a: bytes, ctx: bytes, sides: bytes, doc: bytes, pos: bytes, ids: bytes, ts: bytes) -> pa.RecordBatch:
+        cols = [[k], [a], [ctx], [sides], [doc], [pos], [ids], [ts]]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "a", "ctx", "sides", "doc", "pos", "ids", "ts"])
 
     return texts.mapInArrow(run, _SENT)
@@ -200,13 +235,10 @@ def _answer(buckets: int):
     def run(t: pa.Table) -> pa.Table:
         trim()
         cols = {n: t.column(n).to_pylist() for n in ("a", "ctx", "sides", "doc", "pos", "ids", "ts")}
+        if (bucket := t.column("bucket")[0].as_py()) < 0:
+            return pa.table([pa.array([-1 - bucket], pa.int32()), *(pa.array([b"".join(cols[c])], pa.binary()) for c in ("ids", "ts", "doc", "a"))], names=["range", "ids", "ts", "sizes", "marks"])
         ids = np.frombuffer(b"".join(cols["ids"]), "<i8")
         ts = np.frombuffer(b"".join(cols["ts"]), "<i8")
-        if t.column("bucket")[0].as_py() >= buckets:
-            size = np.frombuffer(b"".join(cols["doc"]), "<u4")
-            whole, end = b"".join(cols["a"]), np.cumsum(size, dtype=np.int64).tolist()
-            marks = [whole[i:j] for i, j in zip([0, *end[:-1]], end)]
-            return pa.table([pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array(marks, pa.binary())], names=["id", "t", "marks"])
         a, ctx = np.frombuffer(b"".join(cols["a"]), "<u4").astype(np.uint64), _unsix(b"".join(cols["ctx"]))
         sides = [np.concatenate([np.frombuffer(x, "<u2").reshape(2, -1)[k] for x in cols["sides"]]).astype(np.uint64) for k in (0, 1)]
         base = np.concatenate([[0], np.cumsum([len(x) // 8 for x in cols["ids"]])])
@@ -223,7 +255,7 @@ def _answer(buckets: int):
         a, ctx, doc, pos, own = a[keep], ctx[keep], doc[keep], pos[keep], own[keep]
         sides = [x[keep] for x in sides]
         if not len(a):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["id", "t", "marks"])
+            return _marks(own, own, pos, np.zeros(0, np.uint8), buckets)
         order = np.lexsort((pos, own, ctx, a))
         a, ctx, doc, pos, own = a[order], ctx[order], doc[order], pos[order], own[order]
         sides = [x[order] for x in sides]
@@ -240,17 +272,17 @@ def _answer(buckets: int):
         repeats = own > own[first]
         send = ~repeats & several  # every place of the smallest document with this context
         at = np.flatnonzero(repeats | send)
-        return pa.Table.from_batches([_marks(doc[at], pos[at], send[at].astype(np.uint8), ids, ts)])
+        return _marks(ids[doc[at]], ts[doc[at]], pos[at], send[at].astype(np.uint8), buckets)
 
     return run
 
 
-_CUT = "bucket int, id long, t long, marks binary, parts binary, sizes binary, text binary"
+_CUT = "bucket int, id long, t long, marks binary, parts binary, sizes binary"
 
 
 def _contexts(active: DataFrame, buckets: int) -> DataFrame:
-    """From id, t, text, all_marks: a row with the spans and the text of each document, and
-    rows with the contexts that it sends to each bucket."""
+    """From id, t, text, marks: a row with the spans of each document, and rows with the
+    contexts that it sends to each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,17 +293,19 @@ def _contexts(active: DataFrame, buckets: int) -> DataFrame:
     def block(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, out = [], {}
         for i, t, text, marks in zip(*(c.to_pylist() for c in b.columns)):
-            m = np.frombuffer(b"".join(marks), "<u8")
+            m = np.frombuffer(marks, "<u8")
             pos, send = (m >> np.uint64(1)).astype(np.int64), (m & np.uint64(1)).astype(bool)
             spans = np.stack([np.maximum(pos[~send] - SIDE, 0), np.minimum(pos[~send] + GRAM + SIDE, len(text))], 1)
-            rows.append((-1, i, t, spans.astype("<i8").tobytes(), None, None, text))
+            if len(spans):
+                rows.append((-1, i, t, spans.astype("<i8").tobytes(), None, None))
             for p in pos[send].tolist():
                 k = xxhash.xxh64_intdigest(text[p : p + GRAM]) % buckets
                 out.setdefault(k, []).append((i, t, max(0, p - SIDE), text[max(0, p - SIDE) : p + GRAM + SIDE]))
         for k, got in out.items():
             head = np.array([g[:3] for g in got], "<i8").tobytes()
-            rows.append((k, None, None, head, b"".join(g[3] for g in got), np.array([len(g[3]) for g in got], "<u2").tobytes(), None))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "id", "t", "marks", "parts", "sizes", "text"])
+            rows.append((k, None, None, head, b"".join(g[3] for g in got), np.array([len(g[3]) for g in got], "<u2").tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3))], names=["bucket", "id", "t", "marks", "parts", "sizes"])
 
     return active.mapInArrow(run, _CUT)
 
@@ -339,61 +373,70 @@ def cut(text: bytes, runs: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").cast("binary").alias("text"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, t (xxhash64 of the text), text (binary), spans (array of blobs of little-endian
-    64-bit pairs [start, stop) in bytes): documents in which something repeats."""
-    texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    """id, t (xxhash64 of the text), spans (array of blobs of little-endian 64-bit pairs
+    [start, stop) in bytes): documents in which something repeats."""
+    texts = _texts(docs, id_col, text_col)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(min(1_000_000_000, max(8, -(-size // BUCKET_BYTES))))
     with small_batches(docs.sparkSession):
-        replies = materialize(_send(texts, buckets).groupBy("bucket").applyInArrow(_answer(buckets), _REPLY), "anchors")
-    by = replies.groupBy("id", "t").agg(F.collect_list("marks").alias("marks"))
-    with small_batches(docs.sparkSession):
-        cuts = materialize(_contexts(texts.join(by, ["id", "t"]).select("id", "t", "text", "marks"), buckets), "contexts")
-    found = cuts.filter("bucket >= 0").groupBy("bucket").applyInArrow(_merge, _REPLY)
-    ready = cuts.filter("bucket < 0")
-    spans = found.unionByName(ready.filter("octet_length(marks) > 0").select("id", "t", "marks")).groupBy("id", "t").agg(F.collect_list("marks").alias("spans"))
-    return ready.select("id", "t", "text").join(spans, ["id", "t"])
+        replies = materialize(_send(texts, buckets).groupBy("bucket").applyInArrow(_answer(buckets), _GROUPED), "anchors")
+        marks = replies.groupBy("range").applyInArrow(_gather, _REPLY)
+        cuts = materialize(_contexts(texts.join(marks.hint("merge"), ["id", "t"]).select("id", "t", "text", "marks"), buckets), "contexts")
+        drop(replies)
+        found = cuts.filter("bucket >= 0").groupBy("bucket").applyInArrow(_merge, _REPLY)
+        every = found.unionByName(cuts.filter("bucket < 0").select("id", "t", "marks"))
+        spans = materialize(every.groupBy("id", "t").agg(F.collect_list("marks").alias("spans")), "spans")
+        drop(cuts)
+    return spans
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
+def _applied(docs: DataFrame, id_col: str, text_col: str, act, kind: str) -> DataFrame:
+    """id, t and act(text, runs to remove) for each document in which something repeats."""
+    columns = [x.split()[0] for x in kind.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, blobs in zip(b.column(2), b.column(3)):
-                runs, text = union(blobs.as_py()), text.as_py()
-                out.append((int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(cut(text, runs)).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))] if out else [b.column(0), b.column(1), *(pa.array([], k) for k in kinds)], names=["id", "t", "n_removed", "n_spans", "kept"])
-
-    found = repeated_spans(docs, id_col, text_col).mapInArrow(run, "id long, t long, n_removed long, n_spans long, kept string").dropDuplicates(["id", "t"])
+            out = [act(text.as_py(), union(blobs.as_py())) for text, blobs in zip(b.column(2), b.column(3))]
+            kinds = [pa.string() if x.endswith("string") else pa.int64() for x in kind.split(", ")]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds))], names=["id", "t", *columns])
+
+    both = _texts(docs, id_col, text_col).join(repeated_spans(docs, id_col, text_col).hint("merge"), ["id", "t"])
+    return both.dropDuplicates(["id", "t"]).select("id", "t", "text", "spans").mapInArrow(run, f"id long, t long, {kind}")
+
+
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
+    act = lambda text, runs: (int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(cut(text, runs)).hexdigest())
+    found = _applied(docs, id_col, text_col, act, "n_removed long, n_spans long, kept string")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("__t"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("__sha"))
-    got = rows.join(found, (rows[id_col] == found.id) & (F.col("__t") == found.t), "left")
-    return got.select(id_col, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "__sha").alias("kept_sha256"))
+    rows = docs.select(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("own_t"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own_sha"))
+    got = rows.join(found, (rows[id_col] == found.id) & (F.col("own_t") == found.t), "left")
+    return got.select(rows[id_col], "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "own_sha").alias("kept_sha256"))
+
+
+def whole_characters(text: bytes, runs: np.ndarray) -> np.ndarray:
+    """runs without the parts of characters at their ends."""
+    runs = runs.copy()
+    for k, (a, z) in enumerate(runs.tolist()):
+        while a < z and text[a] & 0xC0 == 0x80:
+            a += 1
+        while z > a and z < len(text) and text[z] & 0xC0 == 0x80:
+            z -= 1
+        runs[k] = a, z
+    return runs
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes cut from text_col. Where a run would split a character, the
     run is shortened to whole characters, so the text stays valid. A text of which nothing is
     left stays as an empty one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, blobs in zip(b.column(2), b.column(3)):
-                text, runs = text.as_py(), union(blobs.as_py()).copy()
-                for k, (a, z) in enumerate(runs.tolist()):
-                    while a < z and text[a] & 0xC0 == 0x80:
-                        a += 1
-                    while z > a and z < len(text) and text[z] & 0xC0 == 0x80:
-                        z -= 1
-                    runs[k] = a, z
-                out.append(cut(text, runs).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["__id", "__t", "__kept"])
-
-    found = repeated_spans(docs, id_col, text_col).mapInArrow(run, "__id long, __t long, __kept string").dropDuplicates(["__id", "__t"])
-    got = docs.join(found, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__t")), "left")
-    return got.select(*[F.coalesce("__kept", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    act = lambda text, runs: (cut(text, whole_characters(text, runs)).decode("utf-8", "replace"),)
+    found = _applied(docs, id_col, text_col, act, "kept string")
+    rows = packed(docs, own_id=F.col(id_col).cast("long"), own_t=F.xxhash64(F.col(text_col).cast("string")))
+    got = rows.join(found, (F.col("own_id") == F.col("id")) & (F.col("own_t") == F.col("t")), "left")
+    return unpacked(got, docs.columns, {text_col: F.coalesce("kept", F.col("row").getField(text_col))})

@@ -93,7 +93,20 @@ def test_null_and_repeated_ids(spark):
     rows = [(None, long), (5, long), (5, long), (5, long + " and more"), (6, long)]
     got = sorted((r.doc_id or -1, r.n_removed) for r in repeats.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, 0), (5, 0), (5, 0), (5, 0), (6, len(long))]
-    assert repeats.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert repeats.report(none).collect() == [] and repeats.remove(none).collect() == []
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as __t", "'x' as t", "2 as id", "3 as kept", "4 as `a.b`", "map('k', 1) as row")
+    got = repeats.remove(frame)
+    assert got.columns == frame.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got.collect()) == sorted((i or -1, "" if i == 6 else t) for i, t in rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    base = " ".join(str(rng.randrange(10**9)) for _ in range(60_000))
+    docs = [(1, base), (2, base[1000:300_000] + "x" + base[300_000:]), (3, base[::-1])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (len(base), 0, 0), 2: (len(docs[1][1]), len(base) - 1000, 2), 3: (len(base), 0, 0)}
 
 
 def test_table(spark):
