@@ -1,15 +1,18 @@
 """Quality rules with risk-controlled thresholds.
 
 Every document gets integer base counts, and every rule a score in thousandths that is high
-for poor text. For a stratum and a rule, the good documents of a labelled holdout say how
-many good ones a cutoff would reject. Cutoffs are tested from the loosest down, each by the
-exact binomial tail: a cutoff passes while P(Bin(n, limit) <= false rejections) is at most
-the level, and testing stops at the first that fails, so the grid itself costs no
-correction; over strata and rules the level is divided by their number (Bonferroni), and
-the limit by the number of rules, so that all rules of a stratum together falsely reject at
-most `limit` of its good documents, except with probability `delta` over everything. Among
-cutoffs that pass, the one with the largest lead of rejected poor over rejected good
-documents is taken, the loosest of equals; a rule without such a lead rejects nothing.
+for poor text. Rules are brought to one scale, on which SCALES, the share that web-text filters
+commonly allow, is 1000; the score of a document is the largest of them. So the cutoffs of a
+stratum are one ordered family of joint rule sets: a cutoff on the score is a cutoff for each
+rule. For a stratum, the good documents of a labelled holdout say how many good ones a cutoff
+would reject. Cutoffs are tested from the loosest down, each by the exact binomial tail: a cutoff
+passes while P(Bin(n, limit) <= false rejections) is at most the level, and testing stops at the
+first that fails (fixed sequence), so neither the grid nor the number of rules costs a
+correction; over strata the level is divided by their number (Bonferroni). So a stratum falsely
+rejects at most `limit` of its good documents, except with probability `delta` over all strata
+together. Among cutoffs that pass, the one with the largest lead of rejected poor over rejected
+good documents is taken, the loosest of equals; a stratum without such a lead rejects nothing.
+With a limit of 2%, a level of 5% and four strata, 217 good documents in a stratum are enough.
 
 Main path: DataFrame expressions only. A document's counts need no other rows, hence no
 shuffle. A null text has no words; a null stratum is a stratum of its own; a stratum without
@@ -25,6 +28,9 @@ from pyspark.sql import functions as F
 from .common import let, words
 
 RULES = ("symbols", "dup_lines", "repeats", "shouting", "long_words")
+#: Thousandths of a rule that count as 1000 on the common scale.
+SCALES = {"symbols": 100, "dup_lines": 300, "repeats": 150, "shouting": 100, "long_words": 50}
+MOST_SCORE = 20_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -71,9 +77,11 @@ def _permille(part: str, whole: str) -> Column:
 
 
 def scored(counted: DataFrame) -> DataFrame:
-    """counted with one score in thousandths for each of RULES."""
+    """counted with one score in thousandths for each of RULES, on the common scale, and score,
+    the largest of them."""
     parts = (("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("n_shout", "n_words"), ("n_long", "n_words"))
-    return counted.withColumns({f"score_{r}": _permille(*p) for r, p in zip(RULES, parts)})
+    got = counted.withColumns({f"score_{r}": F.floor(_permille(*p) * 1000 / SCALES[r]).cast("int") for r, p in zip(RULES, parts)})
+    return got.withColumn("score", F.least(F.greatest(*[F.col(f"score_{r}") for r in RULES]), F.lit(MOST_SCORE)))
 
 
 def tail(n: Column, k: Column, p: float) -> Column:
@@ -91,28 +99,28 @@ def tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(holdout: DataFrame, limit: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """stratum, rule, cutoff, n_good, n_false, n_poor from scored rows with `good` (0 or 1;
-    rows without are left out). A document is rejected where its score is above the cutoff.
+    """stratum, cutoff, n_good, n_false, n_poor and p (the tail at the cutoff) from scored rows
+    with `good` (0 or 1; rows without are left out). A document is rejected where its score is
+    above the cutoff.
 
-    After the first aggregation there are at most 1001 rows for a stratum and rule."""
-    each = holdout.filter("good in (0, 1)").select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"score_{r}").alias("score")) for r in RULES])).alias("x"))
-    hist = each.groupBy("stratum", "x.rule", "x.score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("poor"))
-    key = Window.partitionBy("stratum", "rule")
+    After the first aggregation there are at most MOST_SCORE + 1 rows for a stratum."""
+    hist = holdout.filter("good in (0, 1)").groupBy("stratum", "score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("poor"))
+    key = Window.partitionBy("stratum")
     above = key.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     strata = hist.select("stratum").distinct().agg(F.count(F.lit(1)).alias("n_strata"))
     hist = hist.withColumns({"n_good": F.sum("good").over(key), "n_false": F.coalesce(F.sum("good").over(above), F.lit(0)), "n_poor": F.coalesce(F.sum("poor").over(above), F.lit(0))}).join(F.broadcast(strata))
-    hist = hist.withColumn("p", tail(F.col("n_good"), F.col("n_false"), limit / len(RULES)))
-    passes = F.min((F.col("p") <= delta / (len(RULES) * F.col("n_strata"))).cast("int")).over(key.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0))
+    hist = hist.withColumn("p", tail(F.col("n_good"), F.col("n_false"), limit))
+    passes = F.min((F.col("p") <= delta / F.col("n_strata")).cast("int")).over(key.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0))
     lead = F.col("n_poor") - F.col("n_false")
     best = hist.withColumn("ok", passes).filter((F.col("ok") == 1) & (lead > 0)).withColumn("at", F.row_number().over(key.orderBy(lead.desc(), F.desc("score"))))
-    return best.filter("at = 1").select("stratum", "rule", F.col("score").alias("cutoff"), "n_good", "n_false", "n_poor")
+    return best.filter("at = 1").select("stratum", F.col("score").alias("cutoff"), "n_good", "n_false", "n_poor", "p")
 
 
 def judge(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Scored rows with base_failed, failed_rules and kept. cuts has at most one row for a
-    stratum and rule; it becomes one row for each stratum, and Spark broadcasts it by size."""
-    by = cuts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cuts")).withColumnRenamed("stratum", "__stratum")
+    """Scored rows with base_failed, failed_rules (those above the cutoff of their stratum) and
+    kept. cuts has at most one row for a stratum, and Spark broadcasts it by its size."""
+    by = cuts.select(F.col("stratum").alias("__stratum"), F.col("cutoff").alias("__cutoff"))
     got = rows.join(by, F.col("stratum").eqNullSafe(F.col("__stratum")), "left").drop("__stratum")
-    failed = F.filter(F.array(*[F.when(F.col(f"score_{r}") > F.col("__cuts")[r], F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
+    failed = F.filter(F.array(*[F.when(F.least(F.col(f"score_{r}"), F.lit(MOST_SCORE)) > F.col("__cutoff"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return got.withColumn("base_failed", base).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("__cuts")
+    return got.withColumn("base_failed", base).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("__cutoff")
