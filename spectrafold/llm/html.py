@@ -2,17 +2,20 @@
 
 A page becomes a tree of elements and text blocks. What is never article (scripts, styles,
 menus, forms, site headers and footers, sidebars, notices, adverts, reader comments, by tag,
-role or name) is left out. Each paragraph, which is a block of text, passes points to the
-elements above it: one, one for each comma and one for each hundred characters, in full to
-the nearest container, by half to the next and by less further up, discounted by the share
-of its characters that stand in links. The container with most points, again discounted by
-its link share, is kept, and with it those of its siblings that have a fifth of its points or
-are paragraphs of prose themselves. All their blocks are returned, none is shortened.
+role or name) is left out. Within article and main, names of notices and of the like don't
+count, and paragraphs, headings and list items are spared whatever their names. Each paragraph,
+which is a block of text, passes points to the elements above it: one, one for each comma and one
+for each hundred characters, in full to the nearest container, by half to the next and by less
+further up, discounted by the share of its characters that stand in links. The container with
+most points, again discounted by its link share, and tripled for article and main, is kept, and
+with it those of its siblings that have a fifth of its points or are paragraphs of prose
+themselves. All their blocks are returned, none is shortened.
 
 White space in a block becomes one space (a line break counts as such), blocks are joined by
 one newline in page order, character references are decoded. A null or empty page, or one
 without text, gives the empty string. Repeated rows give the same text each. Unclosed and
-crossing tags, however deep, are handled without recursion. Memory: one page and one Arrow
+crossing tags, however deep, are handled without recursion and in time in proportion to the
+page. Memory: one page and one Arrow
 batch. Other columns pass through.
 """
 
@@ -26,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<!--(?:>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S)
+#: A tag from its name on; a further < outside quotes ends the attempt, so no attempt is long.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>")
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea title noembed noframes xmp".split())
@@ -39,9 +43,18 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|sidebar|side|rail|aside|ads?|adv|adverts?|advertisements?|advertising|banner|promos?|sponsor(?:ed|s)?|cookies?|consent|notices?|gdpr|privacy|popup|modal|overlay|alert|newsletter|subscribe|signup|login|share|sharing|social|comments?|commentlist|discussion|disqus|respond|replies|reply|related|recommended|widgets?|pagination|pager|toolbar|skip|copyright|legal)(?:$|[\s_-])",
     re.I,
 )
+#: Names that count within article and main, too.
+STRICT = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|ads?|adv|adverts?|advertisements?|advertising|promos?|sponsor(?:ed|s)?|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|comments?|commentlist|disqus|respond|replies|related|recommended|pagination|pager|toolbar)(?:$|[\s_-])", re.I)
+SPARED = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
+ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+DECAY = (1, 2, 3, 6, 9, 12, 15)
+BONUS = 3
+NO_CONTAINER = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 pre li td dd blockquote".split())
+
+
 class Tree:
     """Elements by number: parent, own tag; blocks: (element, text, linked characters)."""
 
@@ -67,10 +80,17 @@ class Tree:
             nonlocal inside, drop
             while len(stack) > to:
                 t = tags[stack.pop()]
+                held[t] -= 1
                 inside -= t == "a"
             if drop and len(stack) < drop:
                 drop = 0
 
+        def push(name: str) -> None:
+            parent.append(stack[-1])
+            stack.append(len(tags))
+            tags.append(name)
+            held[name] = held.get(name, 0) + 1
+
         def say(s: str) -> None:
             nonlocal linked
             if s and not drop:
@@ -79,15 +99,29 @@ class Tree:
                     linked += len(s.strip())
 
         n = len(page)
+        held: dict[str, int] = {}  # open elements by name
+        never: set[str] = set()  # names that have no further end tag
         while at < n:
-            m = TAG.search(page, at)
-            if not m:
+            start = page.find("<", at)
+            if start < 0:
                 say(page[at:])
                 break
-            say(page[at : m.start()])
-            at, name = m.end(), (m[2] or "").lower()
-            if not name:
+            m = TAG.match(page, start)
+            if not m:
+                if page[start + 1 : start + 2] in ("!", "?", "/"):
+                    say(page[at:start])
+                    if page.startswith("<!--", start):
+                        end = page.find("-->", start + 2)
+                        at = end + 3 if end >= 0 else n
+                    else:
+                        end = page.find(">", start)
+                        at = end + 1 if end >= 0 else n
+                else:
+                    say(page[at : start + 1])
+                    at = start + 1
                 continue
+            say(page[at:start])
+            at, name = m.end(), m[2].lower()
             if m[1]:
                 if name in INLINE:
                     if name == "a" and inside > 0:
@@ -98,15 +132,22 @@ class Tree:
                     elif tags[stack[-1]] == name and len(stack) > 1:
                         pop(len(stack) - 1)  # only those left out stand on the stack
                     continue
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if held.get(name) else ():
                     if tags[stack[k]] == name:
                         flush()
                         pop(k)
                         break
                 continue
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                if name in ("svg", "math") and m[3].rstrip().endswith("/"):
+                    continue
+                end = None if name in never else ENDS[name].search(page, at)
+                if end:
+                    at = end.end()
+                elif name in ("script", "style", "title", "textarea", "noscript", "xmp"):
+                    at = n  # the rest of the page is its content
+                else:
+                    never.add(name)
                 if name not in ("svg", "math"):
                     say(" ")
                 continue
@@ -115,51 +156,47 @@ class Tree:
                 continue
             if name in INLINE:
                 if name == "a" and not drop:
-                    stack.append(len(tags))
-                    parent.append(stack[-2])
-                    tags.append("a")
+                    push("a")
                     inside += 1
-                elif not drop and m[3] and self.left_out(name, m[3], stack):
-                    stack.append(len(tags))
-                    parent.append(stack[-2])
-                    tags.append(name)
+                elif not drop and m[3] and self.left_out(name, m[3], bool(held.get("article") or held.get("main"))):
+                    push(name)
                     drop = len(stack)
                 continue
             flush()
-            if name in CLOSES_P:
+            if name in CLOSES_P and held.get("p"):
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] == "p":
                         pop(k)
                         break
                     if tags[stack[k]] not in INLINE:
                         break
-            for k in range(len(stack) - 1, 0, -1) if name in SAME else ():
+            for k in range(len(stack) - 1, 0, -1) if name in SAME and any(held.get(t) for t in SAME[name]) else ():
                 if tags[stack[k]] in SAME[name]:
                     pop(k)
                     if name not in ("tr", "tbody", "tfoot"):
                         break
-                elif tags[stack[k]] in SCOPE:
-                    break
+                elif tags[stack[k]] in SCOPE or k < len(stack) - 64:
+                    break  # what is that far up isn't closed by an omitted end tag
             if name in VOID or m[3].endswith("/") and name in ("path", "use"):
                 continue
-            stack.append(len(tags))
-            parent.append(stack[-2])
-            tags.append(name)
-            if not drop and self.left_out(name, m[3], stack[:-1]):
+            within = bool(held.get("article") or held.get("main"))
+            push(name)
+            if not drop and self.left_out(name, m[3], within):
                 drop = len(stack)
         flush()
 
-    def left_out(self, name: str, attrs: str, stack: list[int]) -> bool:
+    def left_out(self, name: str, attrs: str, within: bool) -> bool:
+        """Whether an element goes; within: it stands in article or main."""
         if name in DROP:
             return True
-        within = any(self.tag[k] in ("article", "main") for k in stack)
         if name == "header":
             return not within
         if not attrs or name in ("body", "html", "article", "main"):
             return False
         for key, *values in ATTR.findall(attrs):
             value, key = next((v for v in values if v), ""), key.lower()
-            if key in ("class", "id") and NAMES.search(value) or key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            named = key in ("class", "id") and not (within and name in SPARED) and (STRICT if within else NAMES).search(value)
+            if named or key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return True
         return False
 
@@ -169,34 +206,41 @@ def main_text(page: str | None) -> str:
     parent, tags = tree.parent, tree.tag
     if not tree.blocks:
         return ""
-    points, chars, links = ([0.0] * len(tags) for _ in range(3))
-    prose: dict[int, bool] = {}
-    own = []
+    n = len(tags)
+    points, chars, links, prose = [0.0] * n, [0] * n, [0] * n, [False] * n
+    rising: list[list[float] | None] = [None] * n  # scores on their way up, by the containers passed
     for node, text, linked in tree.blocks:
-        own.append(node)
         density = linked / len(text)
         score = (1 + text.count(",") + text.count("、") + text.count("，") + len(text) / 100) * (1 - density)
-        up, level = node, 0
-        while up >= 0:
-            chars[up] += len(text)
-            links[up] += linked
-            if level or tags[up] not in ("p", "a", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "td", "dd", "blockquote") and tags[up] not in INLINE:
-                points[up] += score / (1, 2, 3, 6, 9, 12, 15)[min(level, 6)]
-                level += 1
-            prose[up] = prose.get(up, False) or (density < 0.25 and len(text) > 80)
-            up = parent[up]
-    final = [p * (1 - links[k] / chars[k]) if chars[k] else 0.0 for k, p in enumerate(points)]
-    best = max(range(len(tags)), key=lambda k: (final[k], -k))
+        chars[node] += len(text)
+        links[node] += linked
+        prose[node] |= density < 0.25 and len(text) > 80
+        own = rising[node] = rising[node] or [0.0] * len(DECAY)
+        own[0] += score
+    for k in range(n - 1, -1, -1):  # parents have lower numbers
+        own, up = rising[k], parent[k]
+        if own:
+            first = 0 if tags[k] not in NO_CONTAINER else 1
+            points[k] = sum(own[i] / DECAY[i] for i in range(first, len(DECAY)))
+            if up >= 0:
+                above = rising[up] = rising[up] or [0.0] * len(DECAY)
+                if first:
+                    above[0] += own[0]
+                for i in range(first, len(DECAY)):
+                    above[min(i + 1, len(DECAY) - 1)] += own[i]
+            rising[k] = None
+        if up >= 0:
+            chars[up] += chars[k]
+            links[up] += links[k]
+            prose[up] |= prose[k]
+    final = [(BONUS if tags[k] in ("article", "main") else 1) * p * (1 - links[k] / chars[k]) if chars[k] else 0.0 for k, p in enumerate(points)]
+    best = max(range(n), key=lambda k: (final[k], -k))
     if not final[best]:
         return ""
-    above = best
-    while above >= 0 and tags[above] not in ("article", "main"):
-        above = parent[above]
-    best = above if above >= 0 else best  # a part of an article brings the article
     kept = {best}
     for k in range(1, len(tags)):
         if parent[k] == parent[best] and k != best and chars[k]:
-            if final[k] >= 0.2 * final[best] or tags[k] == "p" and prose.get(k) and links[k] < 0.25 * chars[k]:
+            if final[k] >= 0.2 * final[best] or tags[k] == "p" and prose[k] and links[k] < 0.25 * chars[k]:
                 kept.add(k)
     within: dict[int, bool] = {-1: False}
 
