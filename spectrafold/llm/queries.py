@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, html, licenses, neardup, packing, quality, repeats, sharding, toxicity
-from .common import materialize, table
+from .common import materialize, scratch_dir, table
 
 SHARDS = 16
 
@@ -29,8 +31,9 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = sharding.records(table(spark, sf_dir, "documents"))
-    slot_map = materialize(sharding.build_map(sharding.slot_table(recs), SHARDS), "slot-map")
-    got = sharding.assign(recs, slot_map)
+    stored, made = f"{scratch_dir(spark)}/spectrafold/slot-map-{uuid.uuid4().hex}", sharding.build_map(sharding.slot_table(recs), SHARDS)
+    sharding.save_map(made := materialize(made, "slots"), stored)
+    got = sharding.assign(recs, made if made.isEmpty() else sharding.load_map(spark, stored))
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 

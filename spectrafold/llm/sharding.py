@@ -76,16 +76,18 @@ def rebalance(slot_map: DataFrame, table: DataFrame, shards: int) -> DataFrame:
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Append a version to a stored map; earlier versions stay."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    """Store a version of a map in a folder of its own; earlier versions stay, and of two writers
+    of one version the second fails. An empty map is not stored."""
+    versions = [r[0] for r in slot_map.select("version").distinct().collect()]  # one
+    for v in versions:
+        slot_map.filter(F.col("version") == v).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={v}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The given version of a stored map, else the newest."""
-    got = spark.read.parquet(path)
-    if version is None:
-        return got.join(F.broadcast(got.agg(F.max("version").alias("version"))), "version")
-    return got.filter(F.col("version") == version)
+    got = spark.read.option("basePath", path).parquet(path)
+    newest = version if version is not None else got.agg(F.max("version")).first()[0]
+    return got.filter(F.col("version") == newest)
 
 
 def assign(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
