@@ -17,13 +17,23 @@ def kaiser_lowpass(taps: int = 60, factor: int = 5, beta: float = 5.0) -> np.nda
     return h / h.sum()
 
 
-def gammachirp_bank(rate: float = 8000.0, low: float = 60.0, high: float = 4000.0, bands: int = 100, order: int = 4, chirp: float = -3.7, seconds: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """(centre frequencies, ascending; complex kernels [bands x taps])."""
-    scale = 0.35
-    b, c = 2.02 * scale * 0.1039 * 0.75, 2.02 * scale * 24.7
-    f = np.geomspace(low, high, bands)
-    t = np.arange(1, int(round(seconds * rate)) + 1) / rate
-    width = b * f + c
+#: Slope and offset of the equivalent rectangular bandwidth over frequency, in hertz.
+ERB_SLOPE, ERB_OFFSET = 2.02 * 0.35 * 0.1039 * 0.75, 2.02 * 0.35 * 24.7
+
+
+def erb_centres(low: float, high: float, bands: int) -> np.ndarray:
+    """Frequencies at equal steps of ln(slope * f + offset)."""
+    ends = np.log(ERB_SLOPE * np.array([low, high]) + ERB_OFFSET)
+    return (np.exp(np.linspace(*ends, bands)) - ERB_OFFSET) / ERB_SLOPE
+
+
+def gammachirp_bank(rate: float = 8000.0, low: float = 60.0, high: float = 4000.0, bands: int = 100, order: int = 4, chirp: float = -3.7, seconds: float = 0.1, every: int = 5, erb: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(centre frequencies, ascending; complex kernels [bands x taps]). Centres have equal steps
+    on a logarithmic scale, or on the ERB scale. A kernel ends a sample before the first whole
+    number of frames, of `every` samples, that is longer than `seconds`: 804 taps by default."""
+    f = erb_centres(low, high, bands) if erb else np.geomspace(low, high, bands)
+    t = np.arange(1, (int(rate * seconds / every) + 1) * every) / rate
+    width = ERB_SLOPE * f + ERB_OFFSET
     shape = t[None] ** (order - 1) * np.exp(-2 * np.pi * width[:, None] * t[None])
     wave = np.exp(1j * (2 * np.pi * f[:, None] * t[None] + chirp * np.log(t[None])))
     gain = np.sqrt((4 * np.pi * width) ** (2 * order - 1) / math.factorial(2 * order - 2)) * f / rate
@@ -161,17 +171,26 @@ class Margin:
     last_scale: int
 
 
-def margins(reach: dict[int, tuple[int, int, int, int]], scales: int, before: tuple[int, int] = (0, 0)) -> Margin | None:
-    """From each usable scale's (scales back, scales ahead, frames back, frames ahead); None if
-    no scale is left."""
-    low = next((before[0] + r[0] for s, r in sorted(reach.items()) if s >= before[0] + r[0]), None)
-    high = next((before[1] + r[1] for s, r in sorted(reach.items(), reverse=True) if s + before[1] + r[1] <= scales - 1), None)
+def margins(reach: dict[int, tuple[int, int, int, int]], scales: int, before: Margin = Margin(0, 0, 0, 0)) -> Margin | None:
+    """From each usable scale's (scales back, scales ahead, frames back, frames ahead), on top
+    of the margins of what it reads; None if no scale is left."""
+    low = next((before.first_scale + r[0] for s, r in sorted(reach.items()) if s >= before.first_scale + r[0]), None)
+    high = next((before.last_scale + r[1] for s, r in sorted(reach.items(), reverse=True) if s + before.last_scale + r[1] <= scales - 1), None)
     if low is None or high is None or low > scales - 1 - high:
         return None
     inside = [r for s, r in reach.items() if low <= s <= scales - 1 - high]
     if not inside:
         return None
-    return Margin(max(r[2] for r in inside), max(r[3] for r in inside), low, high)
+    return Margin(before.first_frame + max(r[2] for r in inside), before.last_frame + max(r[3] for r in inside), low, high)
+
+
+def area_reach(areas: list[tuple[int, int, int, int]]) -> dict[int, tuple[int, int, int, int]]:
+    """The same of context areas (scale, run scale, first frame, last frame)."""
+    out: dict[int, tuple[int, int, int, int]] = {}
+    for s, run, a, z in areas:
+        r = out.get(s, (0, 0, 0, 0))
+        out[s] = (max(r[0], s - run), max(r[1], run - s), max(r[2], -a), max(r[3], z))
+    return out
 
 
 def pattern_reach(pairs: list[tuple[Crossing, Crossing]]) -> dict[int, tuple[int, int, int, int]]:

@@ -56,16 +56,21 @@ def round_away(x: Column) -> Column:
 
 def erb_rate(f: Column, b: float, c: float) -> Column:
     """Place on the ERB scale of a frequency."""
-    return F.log(b * f + c) / b
+    return F.log(b * f + c)
 
 
 def erb_frequency(e: Column, b: float, c: float) -> Column:
-    return (F.exp(b * e) - c) / b
+    return (F.exp(e) - c) / b
 
 
-def fingerprint(*columns: Column) -> Column:
-    """SHA-1 of the JSON of the given columns in their order."""
-    return F.sha1(F.to_json(F.struct(*columns)).cast("binary"))
+def fingerprint(config: dict[str, Column]) -> Column:
+    """SHA-1 of the JSON of a configuration, its keys sorted, so their order doesn't matter."""
+    return F.sha1(F.to_json(F.struct(*[config[k].alias(k) for k in sorted(config)])).cast("binary"))
+
+
+def identifier(source: Column, serial: Column) -> Column:
+    """A name for what a source numbers, the same in every run."""
+    return F.sha2(F.concat_ws("/", source.cast("string"), serial.cast("string")), 256)
 
 
 def location(identifier: Column) -> Column:

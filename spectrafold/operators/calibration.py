@@ -65,19 +65,36 @@ def taps(model: DataFrame, texture: str) -> DataFrame:
     return own.join(both, "scale").select("scale", F.explode(points).alias("p")).select("scale", "p.*", F.lit(4).alias("n_taps"))
 
 
+def texture_margins(model: DataFrame, areas: DataFrame, texture: str) -> tuple[kernels.Margin | None, kernels.Margin | None]:
+    """Margins of a texture's pattern and tract, from the few rows that a model has."""
+    rows = planes._model_rows(model.filter((F.col("texture") == texture) & (F.col("axis") == "principal")), ["scale", "side", "found", "super_scale", "super_frame", "sub_scale", "sub_frame", "delta"])
+    pairs = [[kernels.Crossing(False)] * 2 for _ in range(max((r[0] for r in rows), default=-1) + 1)]
+    for s, side, *rest in rows:
+        pairs[s] = [kernels.Crossing(*rest) if k == side else x for k, x in enumerate(pairs[s])]
+    first = kernels.margins(kernels.pattern_reach([tuple(p) for p in pairs]), len(pairs))
+    own = planes._model_rows(areas.filter(F.col("texture") == texture), ["scale", "runscale", "start_frame", "end_frame"])
+    return first, kernels.margins(kernels.area_reach(own), len(pairs), first) if first else None
+
+
 def features(cells: DataFrame, model: DataFrame, areas: DataFrame, texture: str) -> tuple[DataFrame, DataFrame]:
     """(pattern, tract) planes of a texture; cells without all their neighbours have no row."""
     pattern = planes.pattern(cells, taps(model, texture))
-    own = areas.filter(F.col("texture") == texture).drop("texture")
-    reach = own.agg(F.coalesce(F.max(F.greatest(F.abs("start_frame"), F.abs("end_frame"))), F.lit(0))).first()[0]
-    return pattern, planes.tract(pattern, own, reach)
+    return pattern, planes.tract(pattern, areas.filter(F.col("texture") == texture).drop("texture"))
 
 
-def structure(cells: DataFrame, model: DataFrame, areas: DataFrame, textures: tuple[str, ...] = kernels.TEXTURES) -> DataFrame:
-    """Rows of all features: feature (f_pattern, f_tract and so on) with the columns of a cell."""
+def structure(cells: DataFrame, model: DataFrame, areas: DataFrame, textures: tuple[str, ...] = kernels.TEXTURES, crop: bool = True) -> DataFrame:
+    """Rows of all features: feature (f_pattern, f_tract and so on) with the columns of a cell,
+    by default cropped to the margins of the tract, so both have the same cells; a texture
+    without valid scales has none."""
     out = None
+    extent = cells.groupBy("source", "segment").agg((F.max("frame") + 1).alias("n_frames"), (F.max("scale") + 1).alias("n_scales"))
     for t in textures:
+        margin = texture_margins(model, areas, t)[1]
         for kind, df in zip(("pattern", "tract"), features(cells, model, areas, t)):
+            if crop and margin:
+                df = planes.valid_region(df, extent, margin.first_frame, margin.last_frame, margin.first_scale, margin.last_scale)
+            elif crop:
+                df = df.filter(F.lit(False))
             named = df.withColumn("feature", F.lit(f"{t}_{kind}"))
             out = named if out is None else out.unionByName(named)
     return out

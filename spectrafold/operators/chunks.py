@@ -53,6 +53,35 @@ def require_columns(df: DataFrame, names: list[str], exact: bool = False) -> Dat
     return df
 
 
+def project(features: DataFrame, orders: dict[str, str], by: tuple[str, ...] = ("source", "number", "continuity")) -> DataFrame:
+    """The features that a subscriber asks for, under its own names (receiver: sender). A sender
+    '*' gives a tick: a row without a payload."""
+    return features.select(*by, *[(F.lit(None).cast("double") if sender == "*" else F.col(sender)).alias(name) for name, sender in orders.items()])
+
+
+def with_results(features: DataFrame, column: str) -> DataFrame:
+    """Without rows in which an operator had no result."""
+    return features.filter(F.col(column).isNotNull())
+
+
+def not_empty(features: DataFrame, column: str, strict: bool = True) -> DataFrame:
+    """A result of no length is an error at run time; without strict such rows go."""
+    size = F.size(column) > 0
+    if not strict:
+        return features.filter(size)
+    return features.filter(F.coalesce(F.assert_true(size, f"{column} has no length").isNull(), F.lit(True)))
+
+
+def with_end(chunks: DataFrame, by: str = "source") -> DataFrame:
+    """chunks with one more for each source: zeros as long as the last chunk, flagged LAST, so
+    that what waits for more is flushed. Its data are mock data, which sinks leave out."""
+    last = chunks.groupBy(by).agg(F.max_by(F.struct("*"), "number").alias("x")).select("x.*")
+    gone = {"number": F.col("number") + 1, "continuity": F.lit(int(Continuity.LAST)).cast("int"), "data": F.transform("data", lambda v: v * 0)}
+    if {"start_time", "fs"} <= set(chunks.columns):
+        gone["start_time"] = F.col("start_time") + F.size("data") / F.col("fs")
+    return chunks.withColumn("continuity", F.col("continuity").cast("int")).unionByName(last.withColumns(gone))
+
+
 def numbered(rows: DataFrame, by: str, order: str, name: str = "frame", block: int = 1 << 16) -> DataFrame:
     """rows with a number from 0 within `by`, in the order of a whole-numbered column without
     ties. Ranges of the order are numbered apart, and what stands before each is a sum over

@@ -50,5 +50,10 @@ def resample(samples: DataFrame, factor: int = 5, taps: int = 60, beta: float =
 
 def gammachirp_energy(samples: DataFrame, rate: float = 8000.0, bands: int = 100, every: int = 5, **bank) -> DataFrame:
     """Energy of a gammachirp filterbank, in ascending frequency, every few samples."""
-    _, h = kernels.gammachirp_bank(rate, bands=bands, **bank)
+    _, h = kernels.gammachirp_bank(rate, bands=bands, every=every, **bank)
     return filter_bank(samples, h, every).withColumn("value", F.col("value") * F.col("value"))
+
+
+def gammachirp_db(samples: DataFrame, rate: float = 8000.0, bands: int = 100, every: int = 5, **bank) -> DataFrame:
+    """The same in decibels, null where there is no energy."""
+    return gammachirp_energy(samples, rate, bands, every, **bank).withColumn("value", 10 * F.log10(F.when(F.col("value") > 0, F.col("value"))))

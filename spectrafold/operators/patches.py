@@ -32,6 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+
         base = tempfile.mkdtemp(prefix="spectrafold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -83,8 +86,20 @@ def seam_edges(labelled: DataFrame, tile: int = TILE) -> DataFrame:
     return left.join(right, ["source", "segment", "tile", "scale", "level"]).select("source", "segment", "tile", "local", "next_local").distinct()
 
 
-def label_patches(cells: DataFrame, tile: int = TILE) -> DataFrame:
-    """source, segment, scale, frame, level, patch for cells with an integer level."""
+def chunk_patches(cells: DataFrame, width: int) -> DataFrame:
+    """label_patches() with what each chunk of `width` frames says on its own: chunk, local (its
+    label there), serial (local plus one and the patches of all chunks before)."""
+    lab = shared_table(label_patches(cells, width, parts=True), "parts")
+    counts = lab.groupBy("source", "segment", "tile").agg((F.max("local") + 1).alias("n"))
+    before = Window.partitionBy("source", "segment").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("source", "segment", "tile", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    got = lab.join(counts, ["source", "segment", "tile"])
+    return got.select("source", "segment", "scale", "frame", "level", "patch", F.col("tile").alias("chunk"), "local", (F.col("before") + F.col("local") + 1).alias("serial"))
+
+
+def label_patches(cells: DataFrame, tile: int = TILE, parts: bool = False) -> DataFrame:
+    """source, segment, scale, frame, level, patch for cells with an integer level; parts: tile
+    and local, the label within the tile, too."""
     labelled = shared_table(_local(cells, tile), "tiles")
     n_frames = labelled.groupBy("source", "segment").agg(F.max("frame").alias("__last"))
     key = ["source", "segment", "tile", "local"]
@@ -101,7 +116,7 @@ def label_patches(cells: DataFrame, tile: int = TILE) -> DataFrame:
     before = Window.partitionBy("source", "segment").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = distinct.groupBy("source", "segment", "range").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     ranks = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("source", "segment", "range").orderBy("root"))).join(ranges, ["source", "segment", "range"]).select("source", "segment", "root", (F.col("before") + F.col("rank") - 1).alias("patch"))
-    return labelled.join(named.join(ranks, ["source", "segment", "root"]).select(*key, "patch"), key).select("source", "segment", "scale", "frame", "level", "patch")
+    return labelled.join(named.join(ranks, ["source", "segment", "root"]).select(*key, "patch"), key).select("source", "segment", "scale", "frame", "level", "patch", *(["tile", "local"] if parts else []))
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -165,10 +180,25 @@ def finished(described: DataFrame, extent: DataFrame) -> DataFrame:
 
 
 def merged(parts: DataFrame, into: DataFrame) -> DataFrame:
-    """Descriptors of parts joined by a map (source, segment, patch, final): ranges are united,
-    sizes summed, the smallest serial number stays and the newest identifier names the whole."""
+    """Descriptors of parts joined by a map (source, segment, patch, final): ranges are united
+    and sizes summed. Of parts with a serial the smallest stays, of those with an identifier
+    that of the last to end, and of these the one with the largest serial."""
+    got = parts.join(into, ["source", "segment", "patch"])
+    more = [F.min("serial").alias("serial")] if "serial" in parts.columns else []
+    more += [F.max_by("identifier", F.struct("t_high", *(["serial"] if more else ["identifier"]))).alias("identifier")] if "identifier" in parts.columns else []
+    return got.groupBy("source", "segment", "final").agg(F.min("level").alias("level"), F.min("t_low").alias("t_low"), F.max("t_high").alias("t_high"), F.min("s_low").alias("s_low"), F.max("s_high").alias("s_high"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"), *more)
+
+
+def merged_rows(parts: DataFrame, into: DataFrame, along: str) -> DataFrame:
+    """What parts say for each of their scales or frames, merged: counts n are summed, means
+    weighted by them, lower and upper ends united. parts: source, segment, patch, the column
+    `along`, n, lower, upper, mean. A place between the first and the last of the whole that no
+    part has gets the count and mean 0 and no ends."""
     got = parts.join(into, ["source", "segment", "patch"])
-    return got.groupBy("source", "segment", "final").agg(F.min("level").alias("level"), F.min("t_low").alias("t_low"), F.max("t_high").alias("t_high"), F.min("s_low").alias("s_low"), F.max("s_high").alias("s_high"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"))
+    key = ["source", "segment", "final"]
+    rows = got.groupBy(*key, along).agg(F.sum("n").alias("n"), F.min("lower").alias("lower"), F.max("upper").alias("upper"), F.sum(F.col("mean") * F.col("n")).alias("total"))
+    every = rows.groupBy(*key).agg(F.min(along).alias("a"), F.max(along).alias("z")).select(*key, F.explode(F.sequence("a", "z")).alias(along))
+    return every.join(rows, [*key, along], "left").select(*key, along, F.coalesce("n", F.lit(0)).alias("n"), "lower", "upper", F.coalesce(F.col("total") / F.col("n"), F.lit(0.0)).alias("mean"))
 
 
 def seam_labels(before: list[int], after: list[int], level_before: list[int], level_after: list[int]) -> dict[int, int]:

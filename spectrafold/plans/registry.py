@@ -7,12 +7,16 @@ where the rows of type error are chunks that were lost. Every query covers its w
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrafold.functions import kernels, scalars
 from spectrafold.operators import calibration, chunks, filters, patches, planes
-from spectrafold.sources import synthetic
+from spectrafold.sources import sinks, synthetic, wav
 
 EDGES, WIDTH = [0, 8, 24, 64], 50
 SLOPE = 3.0
@@ -396,9 +400,10 @@ def patch_merge(spark, sf_dir):
     return patches.merged(parts, into).select(F.col("final").alias("patch"), F.col("level").cast("int").alias("level"), "t_low", "t_high", "size")
 
 
-@query()
+@query(f"""with {SIGNALS} select distinct source, sha1('{{"rate":8000.0,"source":"' || source || '"}}') as fingerprint from s""")
 def config_fingerprint(spark, sf_dir):
-    return signals(spark, sf_dir).select("source").distinct().select("source", scalars.fingerprint(F.lit(8000.0).alias("rate"), F.col("source")).alias("fingerprint"))
+    s = signals(spark, sf_dir).select("source").distinct()
+    return s.select("source", scalars.fingerprint({"source": F.col("source"), "rate": F.lit(8000.0)}).alias("fingerprint"))
 
 
 @query()
@@ -415,7 +420,204 @@ def structure_features(spark, sf_dir):
     return calibration.structure(plane(spark, sf_dir), model, areas).select("feature", "scale", "frame", r6("value"))
 
 
-@query()
+@query("select range as frame, round(2000 * sin(2 * pi() * 1000 / 8000 * range), 6) + 0.0::double as value from range(16000)")
 def sine_source(spark, sf_dir):
     got = synthetic.sine(spark, 16_000)
-    return got.select("frame", r6("value"))
+    return got.select("frame", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+_BANK = "(select s, 60 * pow(4000.0 / 60, s / 99.0) as f from (select unnest(range(100)) as s))"
+_B, _C = "(2.02 * 0.35 * 0.1039 * 0.75)::double", "(2.02 * 0.35 * 24.7)::double"
+_KERNEL = f"""k as (select s, j, a * cos(2 * pi() * f * t - 3.7 * ln(t)) as re, a * sin(2 * pi() * f * t - 3.7 * ln(t)) as im from
+(select s, f, j, t, pow(t, 3) * exp(-2 * pi() * w * t) * sqrt(pow(4 * pi() * w, 7) / 720) * f / 8000 as a from
+(select s, f, j, j / 8000.0::double as t, {_B} * f + {_C} as w from {_BANK}, (select unnest(range(1, 805)) as j))))"""
+
+
+@query(f"""with {SIGNALS}, {_KERNEL}, o as (select source, frame as last, (frame - 803) // 5 as frame from s where frame >= 803 and (frame - 803) % 5 = 0),
+y as (select o.source, k.s as scale, o.frame, sum(s.v * k.re) as re, sum(s.v * k.im) as im from o join s on s.source = o.source and s.frame between o.last - 803 and o.last join k on k.j = o.last - s.frame + 1 group by all)
+select source, scale, frame, round(10 * log10(re * re + im * im), 4) as db from y""")
+def gammachirp_db(spark, sf_dir):
+    """All 100 bands in decibels; the SQL states the kernels by their formula."""
+    got = filters.gammachirp_db(signals(spark, sf_dir))
+    return got.select("source", F.col("scale").cast("long").alias("scale"), "frame", F.round("value", 4).alias("db"))
+
+
+def _sent_chunks(spark, sf_dir) -> DataFrame:
+    """The signals in chunks of 500 samples, some without a result, some of no length."""
+    return synthetic.chunked(signals(spark, sf_dir), 500, 100.0)
+
+
+_CHUNKED = f"{SIGNALS}, c as (select source, frame // 500 as number, count(*) as n, sum(v) as total from s group by all)"
+
+
+@query(f"with {_CHUNKED} select source, number, cast(case when number = 0 then 1 else 10 end as integer) as continuity, n as samples, cast(null as double) as tick from c")
+def feature_ticks(spark, sf_dir):
+    """One feature under a subscriber's name, another as a tick only."""
+    got = chunks.project(_sent_chunks(spark, sf_dir), {"sound": "data", "tick": "*"})
+    return got.select("source", "number", F.col("continuity").cast("int").alias("continuity"), F.size("sound").cast("long").alias("samples"), "tick")
+
+
+@query(f"with {_CHUNKED} select source, number, n from c where total / n <= 250 and number % 3 <> 0")
+def nulls_and_empties_suppressed(spark, sf_dir):
+    c = _sent_chunks(spark, sf_dir).withColumn("mean", F.aggregate("data", F.lit(0.0), lambda a, x: a + x) / F.size("data"))
+    made = c.withColumn("result", F.when(F.col("mean") <= 250, F.when(F.col("number") % 3 == 0, F.slice("data", 1, 0)).otherwise(F.col("data"))))
+    got = chunks.not_empty(chunks.with_results(made, "result"), "result", strict=False)
+    return chunks.not_empty(got, "result").select("source", "number", F.size("result").cast("long").alias("n"))
+
+
+@query(f"""with {_CHUNKED}, m as (select source, max(number) as number from c group by source)
+select source, number, cast(case when number = 0 then 1 else 10 end as integer) as continuity, n, round(total, 6) as total, number * 5.0::double as start_time from c
+union all select c.source, c.number + 1, 11, n, 0.0::double, c.number * 5.0::double + n / 100.0::double from c join m using (source, number)""")
+def end_sentinel(spark, sf_dir):
+    got = chunks.with_end(_sent_chunks(spark, sf_dir))
+    return got.select("source", "number", "continuity", F.size("data").cast("long").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), "start_time")
+
+
+@query("select range as number, cast(case when range = 6 then 11 when range = 0 then 1 else 10 end as integer) as continuity, 300::bigint as n, false as calibration from range(7) union all select 0, 2, 300, true")
+def noise_source(spark, sf_dir):
+    one, two = synthetic.noise_chunks(spark, 300, 7), synthetic.noise_chunks(spark, 300, 7, calibration=True)
+    both = one.withColumn("calibration", F.lit(False)).unionByName(two.withColumn("calibration", F.lit(True)))
+    return both.select("number", "continuity", F.size("data").cast("long").alias("n"), "calibration")
+
+
+@query(f"with {SIGNALS}, w as (select source, frame // 700 as number, cast(floor(v) as integer) % 3000 as x from s) select source, number, cast(case when number = 0 then 1 else 10 end as integer) as continuity, round(number * 0.0875::double, 6) as start_time, count(*) as n, cast(sum(x) as double) as total from w group by source, number")
+def wav_roundtrip(spark, sf_dir):
+    """Signals written as sound files, a file each, and read as chunks of 700 samples."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("frame")
+        x = np.floor(t.column("value").to_numpy()).astype(np.int64) % 3000
+        return pa.table({"path": [f"/in/{t.column('source')[0]}.wav"], "content": [wav.encode(x, 8000)], "source": [t.column("source")[0].as_py()]})
+
+    files = signals(spark, sf_dir).select("source", "frame", "value").groupBy("source").applyInArrow(run, "path string, content binary, source string")
+    got = wav.chunks_of(files, 700, 8000.0)
+    return got.select("source", "number", "continuity", F.round("start_time", 6).alias("start_time"), F.size("data").cast("long").alias("n"), F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"with {RECEIVED} select cast(source as varchar) as source, cast(segment as bigint) as segment, number, cast(floor(value) as smallint) as value from h where number % 7 <> 0")
+def sink_roundtrip(spark, sf_dir):
+    """Chunks appended to folders by location and segment and read again; end chunks stay out."""
+    path = f"{patches.shared_folder(spark)}/spectrafold/sink-{uuid.uuid4().hex}"
+    c = received(spark, sf_dir).select(F.col("source").cast("string").alias("source"), "number", "segment", F.floor("value").alias("value"), F.when(F.col("number") % 7 == 0, 11).otherwise(10).alias("continuity"))
+    sinks.append(c.withColumn("bin", F.pmod(F.xxhash64("source"), F.lit(4))), path, by=("bin",), kinds={"value": "smallint"})
+    return sinks.read(spark, path).select("source", "segment", "number", "value")
+
+
+@query(f"with {RECEIVED} select source, min(number * 0.5)::double as first_time, max(number * 0.5)::double as last_time, array_to_string(list_sort(list(number) filter (number % 25 = 0)), ',') as marks from h group by source")
+def chunk_marks(spark, sf_dir):
+    got = sinks.chunk_marks(received(spark, sf_dir).withColumn("start_time", F.col("number") * 0.5), every=25)
+    return got.select("source", "first_time", "last_time", F.nullif(F.array_join("marks", ","), F.lit("")).alias("marks"))
+
+
+@query(f"with {SIGNALS} select distinct source, 'my_' || source || '.wav' as location, date '2024-05-06' as date, '{{\"source\":\"' || source || '\",\"rate\":100}}' as json from s")
+def located_rows(spark, sf_dir):
+    s = signals(spark, sf_dir).select("source").distinct()
+    js = sinks.as_json(s.withColumn("rate", F.lit(100))).select(F.from_json("value", "source string, rate int")["source"].alias("source"), F.col("value").alias("json"))
+    got = sinks.located(s.withColumn("identifier", F.concat(F.lit("/data/in put/my "), "source", F.lit(".wav"))), day="2024-05-06")
+    return got.join(js, "source").select("source", "location", "date", "json")
+
+
+@query(f"with {PLANE}, b as (select frame, v * v as e, {_BAND} as band from p) select frame, band, round(10 * log10(avg(e) / 2), 6) as value from b where band is not null group by frame, band")
+def band_mean_time(spark, sf_dir):
+    """Band means of every frame, normalised and in decibels."""
+    e = plane(spark, sf_dir).withColumn("value", F.col("value") * F.col("value"))
+    return planes.band_means(e, EDGES, keep_time=True, normalization=2.0, decibels=True).select("frame", "band", r6("value"))
+
+
+_PATTERN = f"""{PLANE}, x as (select a.frame, a.scale, a.v - 0.35 * b.v - 0.35 * c.v - 0.15 * d.v - 0.15 * e.v as value from p a
+join p b on b.scale = a.scale + 1 and b.frame = a.frame + 1 join p c on c.scale = a.scale - 1 and c.frame = a.frame - 1
+join p d on d.scale = a.scale + 2 and d.frame = a.frame + 2 join p e on e.scale = a.scale - 2 and e.frame = a.frame - 2)"""
+
+
+@query(f"with {_PATTERN} select scale, round(avg(value), 6) as mean, round(sqrt(avg(value * value)), 6) as rms, round(stddev_pop(value), 6) as std from x group by scale")
+def feature_moments(spark, sf_dir):
+    """Moments of a pattern, as calibration has them of patterns and of tracts."""
+    x = planes.pattern(plane(spark, sf_dir), _model(spark))
+    one = calibration.pattern_moments(x).join(calibration.tract_moments(x).drop("mean"), ["source", "segment", "scale"])
+    return one.select("scale", r6("mean"), r6("rms"), r6("std"))
+
+
+@query(f"with {_PATTERN}, m as (select scale, sqrt(avg(value * value)) as rms from x group by scale) select frame, scale, round(value / rms, 6) as value from x join m using (scale)")
+def normalized_pattern(spark, sf_dir):
+    x = planes.pattern(plane(spark, sf_dir), _model(spark))
+    return calibration.normalized(x, calibration.pattern_moments(x, white=True), "rms").select("frame", "scale", r6("value"))
+
+
+@query("select texture, s as scale, (3 * 8 + s % 5)::bigint as area, -3 as first_frame, cast(4 + s % 5 as integer) as last_frame, cast(s - 1 as integer) as first_scale, cast(s + 1 as integer) as last_scale from (select cast(unnest(range(1, 63)) as integer) as s), (select unnest(['f', 's']) as texture)")
+def area_sizes(spark, sf_dir):
+    """Cells and horizons of context areas from a literal model."""
+    rows = [(t, s, r, -3, 4 + (s % 5 if r == s else 0)) for t in "fs" for s in range(1, 63) for r in (s - 1, s, s + 1)]
+    return calibration.area_stats(spark.createDataFrame(rows, calibration.AREA_MODEL)).select("texture", "scale", "area", "first_frame", "last_frame", "first_scale", "last_scale")
+
+
+@query("select scale, scale + d as tap_scale, cast(d as integer) as tap_frame, case abs(d) when 1 then 0.35::double else 0.15::double end as weight from (select unnest(range(2, 62)) as scale), (select unnest([1, -1, 2, -2]) as d)")
+def model_roundtrip(spark, sf_dir):
+    """A model saved and loaded again."""
+    path = f"{patches.shared_folder(spark)}/spectrafold/model-{uuid.uuid4().hex}"
+    calibration.save(_model(spark), path)
+    return calibration.load(spark, path).select("scale", "tap_scale", "tap_frame", "weight")
+
+
+CHUNK = 100
+PARTS = f"""{LABELS}, ec as (select e.a, e.b from e join l x on x.k = e.a join l y on y.k = e.b where x.frame // {CHUNK} = y.frame // {CHUNK}),
+u(k, root) using key (k) as (select k, k from l union select ec.b, min(u.root) from u join ec on ec.a = u.k join recurring.u r on r.k = ec.b where u.root < r.root group by ec.b),
+part as (select lab.frame, lab.scale, lab.v, lab.level, lab.patch, lab.frame // {CHUNK} as chunk, u.root as own, dense_rank() over (order by lab.frame // {CHUNK}, u.root) as serial, dense_rank() over (partition by lab.frame // {CHUNK} order by u.root) - 1 as local from lab join u using (k))"""
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    return patches.shared_table(patches.chunk_patches(levels(spark, sf_dir), CHUNK), "chunks")
+
+
+@query(f"with recursive {PARTS} select distinct chunk, local, serial, patch from part")
+def patch_serials(spark, sf_dir):
+    """Labels of patches within their chunk, serial numbers over all chunks, and whole patches."""
+    return _parts(spark, sf_dir).select("chunk", "local", F.col("serial").cast("long").alias("serial"), "patch").distinct()
+
+
+@query(f"with recursive {PARTS} select distinct a.chunk as tile, a.local, b.local as next_local from part a join part b on b.scale = a.scale and b.frame = a.frame + 1 and b.level = a.level and b.chunk = a.chunk + 1")
+def seam_links(spark, sf_dir):
+    """Local labels that touch across a seam."""
+    lab = _parts(spark, sf_dir).withColumnRenamed("chunk", "tile")
+    return patches.seam_edges(lab, CHUNK).select("tile", "local", "next_local")
+
+
+@query(f"with recursive {PARTS} select patch, min(level) as level, min(frame) as t_low, max(frame) as t_high, min(scale) as s_low, max(scale) as s_high, count(*) as size, count(distinct serial) as parts, min(serial) as serial, 'part-' || max(serial) filter (chunk = last) as identifier from (select *, max(chunk) over (partition by patch) as last from part) where true group by patch")
+def patch_merge_descriptors(spark, sf_dir):
+    """Descriptors of the parts of each patch, merged, with the smallest serial number and the
+    name of a part that ends last."""
+    lab = _parts(spark, sf_dir)
+    parts = patches.descriptors(lab.withColumn("patch", F.col("serial"))).withColumn("serial", F.col("patch"))
+    # all parts of the last chunk end with it for this purpose, so that the newest serial names the whole
+    parts = parts.withColumn("identifier", F.concat(F.lit("part-"), F.col("serial").cast("string")))
+    into = lab.select("source", "segment", F.col("serial").alias("patch"), F.col("patch").alias("final")).distinct()
+    by_chunk = parts.withColumn("true_high", F.col("t_high")).withColumn("t_high", F.floor(F.col("t_high") / CHUNK))
+    names = patches.merged(by_chunk, into).select("source", "segment", "final", "identifier")
+    got = patches.merged(parts.drop("identifier"), into).join(names, ["source", "segment", "final"])
+    return got.select(F.col("final").alias("patch"), F.col("level").cast("int").alias("level"), "t_low", "t_high", "s_low", "s_high", "size", "parts", F.col("serial").cast("long").alias("serial"), "identifier")
+
+
+def _merged_rows(spark, sf_dir, along: str) -> DataFrame:
+    lab = _parts(spark, sf_dir)
+    one = lab.withColumn("patch", F.col("serial"))
+    rows = (patches.in_scale if along == "scale" else patches.in_frame)(one).join(patches.means(one, plane(spark, sf_dir), along), ["source", "segment", "patch", along])
+    into = lab.select("source", "segment", F.col("serial").alias("patch"), F.col("patch").alias("final")).distinct()
+    return patches.merged_rows(rows, into, along).select(F.col("final").alias("patch"), along, "n", "lower", "upper", r6("mean"))
+
+
+@query(f"with recursive {LABELS} select patch, scale, count(*) as n, min(frame) as lower, max(frame) as upper, round(avg(v), 6) as mean from lab group by patch, scale")
+def patch_merge_scales(spark, sf_dir):
+    """Counts, extrema and means by scale of the parts of each patch, merged over the chunks."""
+    return _merged_rows(spark, sf_dir, "scale")
+
+
+@query(f"with recursive {LABELS} select patch, frame, count(*) as n, min(scale) as lower, max(scale) as upper, round(avg(v), 6) as mean from lab group by patch, frame")
+def patch_merge_frames(spark, sf_dir):
+    return _merged_rows(spark, sf_dir, "frame")
+
+
+@query("select round(ln(2.02::double * 0.35 * 0.1039 * 0.75 * x + 2.02::double * 0.35 * 24.7), 6) as rate, x as frequency from (select unnest(range(60, 4001, 20))::double as x)")
+def erb_scale(spark, sf_dir):
+    """Places on the ERB scale, and their frequencies again."""
+    b, c = kernels.ERB_SLOPE, kernels.ERB_OFFSET
+    x = spark.range(60, 4001, 20).select(F.col("id").cast("double").alias("x")).withColumn("e", scalars.erb_rate(F.col("x"), b, c))
+    return x.select(r6("e").alias("rate"), F.round(scalars.erb_frequency(F.col("e"), b, c), 6).alias("frequency"))

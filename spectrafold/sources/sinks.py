@@ -20,8 +20,11 @@ def located(features: DataFrame, identifier: str = "identifier", day: str | None
 
 
 def append(features: DataFrame, path: str, by: tuple[str, ...] = ("date", "location", "segment"), kinds: dict[str, str] | None = None, most_records: int = 10_000_000) -> None:
-    """Append; kinds casts columns on the way. Mock data of end chunks (continuity 11) stays out."""
+    """Append; kinds casts columns on the way. Mock data of end chunks (continuity 11) and
+    chunks of no length stay out."""
     out = features.filter("continuity is null or continuity <> 11") if "continuity" in features.columns else features
+    if dict(out.dtypes).get("data", "").startswith("array"):
+        out = out.filter(F.size("data") > 0)
     for name, kind in (kinds or {}).items():
         out = out.withColumn(name, F.col(name).cast(kind))
     out.write.mode("append").option("maxRecordsPerFile", most_records).partitionBy(*[c for c in by if c in out.columns]).parquet(path)

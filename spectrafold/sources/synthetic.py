@@ -20,6 +20,14 @@ def noise(spark: SparkSession, n: int, seed: int = 1, source: str = "noise") ->
     return _samples(spark, n, source).withColumn("value", F.randn(seed))
 
 
+def noise_chunks(spark: SparkSession, size: int, count: int = 1, calibration: bool = False, rate: float = 8000.0, seed: int = 1, source: str = "noise") -> DataFrame:
+    """`count` chunks of normal noise, the last one flagged LAST; for a calibration a single one
+    flagged so."""
+    n = 1 if calibration else count
+    flag = F.lit(2) if calibration else F.when(F.col("number") == n - 1, 11).otherwise(F.col("continuity"))
+    return chunked(noise(spark, n * size, seed, source), size, rate).withColumn("continuity", flag.cast("int"))
+
+
 def noise_plane(spark: SparkSession, scales: int, frames: int, seed: int = 1, source: str = "noise") -> DataFrame:
     """A calibration plane of independent cells."""
     got = spark.range(scales * frames).select(F.lit(source).alias("source"), F.lit(1).cast("long").alias("segment"), F.floor(F.col("id") / frames).cast("int").alias("scale"), F.pmod("id", F.lit(frames)).alias("frame"))

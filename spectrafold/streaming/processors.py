@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spectrafold.functions import kernels
+from spectrafold.operators.chunks import fused_flag
 
 GOES_ON = 10
 _STATE = "number long, segment long, frame long, tail array<double>"
@@ -98,7 +99,7 @@ def compose_stream(left: DataFrame, right: DataFrame, delay: str = "1 minute", t
     b = right.withWatermark(time, delay).alias("b")
     same = (F.col("a.source") == F.col("b.source")) & (F.col("a.number") == F.col("b.number"))
     near = F.col(f"a.{time}").between(F.col(f"b.{time}") - F.expr(f"interval {delay}"), F.col(f"b.{time}") + F.expr(f"interval {delay}"))
-    return a.join(b, same & near).select("a.source", "a.number", F.least("a.continuity", "b.continuity").alias("continuity"), F.col("a.data").alias("left"), F.col("b.data").alias("right"))
+    return a.join(b, same & near).select("a.source", "a.number", fused_flag([F.col("a.continuity"), F.col("b.continuity")]).alias("continuity"), F.col("a.data").alias("left"), F.col("b.data").alias("right"))
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, by: tuple[str, ...] = ("segment",)):

@@ -122,7 +122,7 @@ def test_lowpass_and_bank():
     with pytest.raises(ValueError):
         kernels.kaiser_lowpass(61, 5)
     f, bank = kernels.gammachirp_bank(bands=10)
-    assert np.isclose(f[0], 60) and np.isclose(f[-1], 4000) and bank.shape == (10, 800)
+    assert np.isclose(f[0], 60) and np.isclose(f[-1], 4000) and bank.shape == (10, 804)
     tone = np.sin(2 * np.pi * f[5] * np.arange(4000) / 8000)
     energy = (np.abs(kernels.valid_filter(tone, bank)) ** 2).mean(axis=1)
     assert energy.argmax() in (4, 5, 6)

@@ -25,7 +25,7 @@ def test_query(spark, db, name):
     assert sorted(map(tuple, df.select(*cols).collect()), key=repr) == sorted(rel.fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"structure_features"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_other_query_runs(spark, name):
     df = registry.QUERIES[name](spark, SF)
     assert df.count() or name == "gammachirp_bank"  # a signal there is shorter than a kernel
