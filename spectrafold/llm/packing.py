@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MERGE = 256
-CACHED = 600_000
+CACHED = 200_000
 #: of byte-level pre-tokenizers
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PIECE = "start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
