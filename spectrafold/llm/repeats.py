@@ -10,12 +10,16 @@ repeats as a whole is set aside first, both exactly, and only the rest is transf
    the bytes of all windows around it. Equal contexts of a block are sent once, with the
    smallest id (the others are known to repeat), so a passage in a third of all documents is
    sent once a block. A bucket answers: the context as a whole also stands in a smaller
-   document; or the anchor has several contexts and this text owns the first of one that goes on
-   like another for 16 bytes to the left or to the right, as a match of WIDTH bytes must. Answers
-   go back in one row for each bucket and range of documents, and ranges gather them.
-3. Owned contexts are cut out and meet in buckets by anchor. Every block there is a shard
-   with a transform of its own; the shards are merged by interleave refinement, and the
-   intervals with a common prefix of WIDTH bytes give the smallest id of each window.
+   document; or this text owns the first of a context that goes on like another for NEAR bytes to
+   the left or to the right, as a match of WIDTH bytes must. Answers go back in one row for each
+   bucket and range of documents, and ranges gather them.
+3. Owned contexts are cut out once for each such side: the bytes of the windows that reach NEAR
+   bytes or more to it. They meet in buckets by their key, the anchor and the NEAR bytes of the
+   side, which all of these windows hold, so an anchor with many contexts is in many buckets. A
+   bucket is worked through in parts of whole keys. Equal strings, compared byte by byte, count
+   once; the different ones are dealt to shards with a transform each, the shards are merged by
+   interleave refinement, and the intervals with a common prefix of WIDTH bytes give the
+   smallest id of each window.
 4. The spans of a document are united and cut from its bytes.
 
 Only spans are kept between the steps; texts are shuffled where contexts are cut out and where
@@ -27,8 +31,9 @@ shorter. Repeated rows get the same result each; rows of one id with different t
 separate texts that don't shorten one another. Texts shorter than WIDTH bytes stay. Very long
 texts are read in segments. Empty tables give no rows. Other columns are not read by report() and
 pass through remove() as they are, whatever their names. Memory: an Arrow batch and its anchors,
-or a bucket; buckets are as many as the input asks for. An anchor that very many documents hold,
-each in a context of its own, stays in one bucket.
+or a bucket, or a part of PART_BYTES of the strings that are merged; buckets are as many as the
+input asks for. An anchor that very many documents hold, each in a context of its own, stays in one
+bucket of step 2, and a key that they hold in one part of step 3.
 """
 
 from __future__ import annotations
@@ -48,7 +53,8 @@ from .common import drop, materialize, packed, small_batches, trim, unpacked
 
 WIDTH, GRAM = 50, 18
 SIDE = WIDTH - GRAM
-BUCKET_BYTES, BLOCK_BYTES = 3_000_000, 5_000_000
+NEAR = SIDE // 2
+BUCKET_BYTES, BLOCK_BYTES, PART_BYTES = 3_000_000, 5_000_000, 1_500_000
 SEGMENT = 1 << 18
 _TABLE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(12).integers(2**60, 2**62, 8)]
@@ -147,9 +153,9 @@ def _by_document(ids: np.ndarray, ts: np.ndarray, marks: np.ndarray) -> tuple[np
 
 
 def _marks(ids: np.ndarray, ts: np.ndarray, pos: np.ndarray, kind: np.ndarray, ranges: int) -> pa.Table:
-    """Answers by range: documents, and for each its positions times two, plus kind (0: the whole
-    context repeats, 1: send the context)."""
-    ids, ts, first, marks = _by_document(ids, ts, pos.astype("<u8") * np.uint64(2) + kind.astype("<u8"))
+    """Answers by range: documents, and for each its positions times four, plus kind (0: the whole
+    context repeats, 1: send its left side, 2: its right one, 3: both)."""
+    ids, ts, first, marks = _by_document(ids, ts, pos.astype("<u8") * np.uint64(4) + kind.astype("<u8"))
     size = np.diff(np.append(first, len(marks)))
     r = _ranges(ids, ts, ranges)
     order = np.argsort(r, kind="stable")
@@ -261,28 +267,29 @@ def _answer(buckets: int):
         sides = [x[order] for x in sides]
         cnew = np.concatenate([[True], (a[1:] != a[:-1]) | (ctx[1:] != ctx[:-1])])
         first = np.maximum.accumulate(np.where(cnew, np.arange(len(a)), 0))
-        # does the context go on like another one of a different document?
-        several = np.zeros(len(a), bool)
-        for side in sides:
+        # on which sides does the context go on like another one of a different document?
+        kind = np.zeros(len(a), np.uint8)
+        for bit, side in enumerate(sides):
             by = np.argsort((a << np.uint64(16)) | side, kind="stable")
             key = (a[by] << np.uint64(16)) | side[by]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             apart = (np.minimum.reduceat(ctx[by], start) != np.maximum.reduceat(ctx[by], start)) & (np.minimum.reduceat(own[by], start) != np.maximum.reduceat(own[by], start)) & (side[by][start] > 0)
-            several[by] |= np.repeat(apart, np.diff(np.append(start, len(by))))
+            kind[by] |= np.repeat(apart.astype(np.uint8) << bit, np.diff(np.append(start, len(by))))
         repeats = own > own[first]
-        send = ~repeats & several  # every place of the smallest document with this context
-        at = np.flatnonzero(repeats | send)
-        return _marks(ids[doc[at]], ts[doc[at]], pos[at], send[at].astype(np.uint8), buckets)
+        kind[repeats] = 0
+        at = np.flatnonzero(repeats | (kind > 0))  # every place of the smallest document with this context
+        return _marks(ids[doc[at]], ts[doc[at]], pos[at], kind[at], buckets)
 
     return run
 
 
-_CUT = "bucket int, id long, t long, marks binary, parts binary, sizes binary"
+_CUT = "bucket int, id long, t long, marks binary, parts binary, sizes binary, keys binary"
 
 
 def _contexts(active: DataFrame, buckets: int) -> DataFrame:
-    """From id, t, text, marks: a row with the spans of each document, and rows with the
-    contexts that it sends to each bucket."""
+    """From id, t, text, marks: a row with the spans of each document, and rows with the sides
+    of contexts that it sends to each bucket: id, t and place of each, its bytes, their number and
+    a hash of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,63 +301,104 @@ def _contexts(active: DataFrame, buckets: int) -> DataFrame:
         rows, out = [], {}
         for i, t, text, marks in zip(*(c.to_pylist() for c in b.columns)):
             m = np.frombuffer(marks, "<u8")
-            pos, send = (m >> np.uint64(1)).astype(np.int64), (m & np.uint64(1)).astype(bool)
-            spans = np.stack([np.maximum(pos[~send] - SIDE, 0), np.minimum(pos[~send] + GRAM + SIDE, len(text))], 1)
+            pos, kind = (m >> np.uint64(2)).astype(np.int64), (m & np.uint64(3)).astype(np.uint8)
+            whole = pos[kind == 0]
+            spans = np.stack([np.maximum(whole - SIDE, 0), np.minimum(whole + GRAM + SIDE, len(text))], 1)
             if len(spans):
-                rows.append((-1, i, t, spans.astype("<i8").tobytes(), None, None))
-            for p in pos[send].tolist():
-                k = xxhash.xxh64_intdigest(text[p : p + GRAM]) % buckets
-                out.setdefault(k, []).append((i, t, max(0, p - SIDE), text[max(0, p - SIDE) : p + GRAM + SIDE]))
+                rows.append((-1, i, t, spans.astype("<i8").tobytes(), None, None, None))
+            for bit, before, after, left in ((1, SIDE, NEAR, NEAR), (2, NEAR, SIDE, 0)):
+                for p in pos[kind & bit > 0].tolist():
+                    start = max(0, p - before)
+                    part = text[start : p + GRAM + after]
+                    if len(part) >= WIDTH:
+                        h = xxhash.xxh64_intdigest(text[p - left : p - left + GRAM + NEAR], seed=bit)
+                        out.setdefault(h % buckets, []).append((i, t, start, part, h >> 32))
         for k, got in out.items():
             head = np.array([g[:3] for g in got], "<i8").tobytes()
-            rows.append((k, None, None, head, b"".join(g[3] for g in got), np.array([len(g[3]) for g in got], "<u2").tobytes()))
+            sizes, keys = np.array([len(g[3]) for g in got], "<u2").tobytes(), np.array([g[4] for g in got], "<u4").tobytes()
+            rows.append((k, None, None, head, b"".join(g[3] for g in got), sizes, keys))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3))], names=["bucket", "id", "t", "marks", "parts", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "id", "t", "marks", "parts", "sizes", "keys"])
 
     return active.mapInArrow(run, _CUT)
 
 
+def _whole_keys(keys: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Rows in parts of at most `most` bytes, or of one key; rows of a key stay together."""
+    order = np.argsort(keys, kind="stable")
+    stop = np.append(np.flatnonzero(keys[order][1:] != keys[order][:-1]) + 1, len(order))
+    total = np.cumsum(sizes[order])
+    lo = k = 0
+    while lo < len(order):
+        end = int(np.searchsorted(total[stop - 1], (total[lo - 1] if lo else 0) + most, "right"))
+        k = max(end, k + 1)
+        yield order[lo : stop[k - 1]]
+        lo = int(stop[k - 1])
+
+
+def _common(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, stop) of the runs of windows that a string of a smaller id also has, from
+    the merged transforms of the different strings."""
+    at: dict[bytes, int] = {}
+    same = np.fromiter((at.setdefault(s, len(at)) for s in strings), np.int64, len(strings))
+    each = list(at)
+    least = np.full(len(each), np.iinfo(np.int64).max)
+    np.minimum.at(least, same, ids)
+    whole = np.flatnonzero(ids > least[same])
+    found = [(whole, np.zeros(len(whole), np.int64), np.array([len(strings[k]) for k in whole.tolist()], np.int64))]
+    if len(each) > 1:
+        want = -(-len(each) // 8)
+        shards = [bwt.build(each[k : k + want], WIDTH, 2) for k in range(0, len(each), want)]
+        z, place, lcp = bwt.merge(shards, WIDTH, 2)
+        string, off, ok = np.empty(len(z), np.int32), np.empty(len(z), np.int32), np.empty(len(z), bool)
+        for k, s in enumerate(shards):
+            mine = np.flatnonzero(z == k)
+            own = np.searchsorted(s.starts, place[mine], "right") - 1
+            string[mine], off[mine] = own + k * want, place[mine] - s.starts[own]
+            ok[mine] = off[mine] + WIDTH <= s.lengths[own] - 1
+        # the intervals, of rotations that begin a window
+        interval = np.cumsum(lcp < WIDTH, dtype=np.int32)[ok]
+        string, off = string[ok], off[ok]
+        start = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]])[: len(interval)])
+        low = np.repeat(np.minimum.reduceat(least[string], start), np.diff(np.append(start, len(string)))) if len(string) else least[string]
+        hit = least[string] > low
+        string, off = string[hit], off[hit]
+        order = np.lexsort((off, string))
+        string, off = string[order].astype(np.int64), off[order].astype(np.int64)
+        new = np.concatenate([[True], (string[1:] != string[:-1]) | (off[1:] > off[:-1] + WIDTH)])[: len(string)]
+        first = np.flatnonzero(new)
+        of, a, b = string[first], off[first], off[np.append(first[1:], len(off))[: len(first)] - 1] + WIDTH
+        # to all rows of the smallest id that hold the string
+        rows = np.flatnonzero(ids == least[same])
+        rows = rows[np.argsort(same[rows], kind="stable")]
+        lo = np.searchsorted(same[rows], of)
+        n = np.searchsorted(same[rows], of, "right") - lo
+        to = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        found.append((rows[to], np.repeat(a, n), np.repeat(b, n)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _merge(t: pa.Table) -> pa.Table:
-    """Spans from the merged transforms of a bucket's contexts. Every block is a shard; many
-    small ones are joined first."""
+    """The spans that a bucket's strings show, by document."""
     trim()
-    heads, strings, shards, now = [], [], [], []
-    for head, parts, sizes in zip(*(t.column(c).to_pylist() for c in ("marks", "parts", "sizes"))):
+    heads, strings, keys = [], [], []
+    for head, parts, sizes, key in zip(*(t.column(c).to_pylist() for c in ("marks", "parts", "sizes", "keys"))):
         heads.append(np.frombuffer(head, "<i8").reshape(-1, 3))
+        keys.append(np.frombuffer(key, "<u4"))
         end = np.cumsum(np.frombuffer(sizes, "<u2"), dtype=np.int64).tolist()
-        strings.append([parts[i:j] for i, j in zip([0, *end[:-1]], end)])
-    want = max(1, -(-sum(map(len, strings)) // 8))
-    own, now_head, all_heads = [], [], []
-    for k, (h, s) in enumerate(zip(heads, strings)):
-        now += s
-        now_head.append(h)
-        if len(now) >= want or k == len(heads) - 1:
-            shards.append(bwt.build(now, WIDTH, 2))
-            all_heads.append(np.concatenate(now_head))
-            now, now_head = [], []
-    z, at, lcp = bwt.merge(shards, WIDTH, 2)
-    ids, starts, ok = np.empty(len(z), np.int64), np.empty(len(z), np.int64), np.empty(len(z), bool)
-    ts = np.empty(len(z), np.int64)
-    for k, s in enumerate(shards):
-        mine = np.flatnonzero(z == k)
-        string = np.searchsorted(s.starts, at[mine], "right") - 1
-        off = at[mine] - s.starts[string]
-        ids[mine], ts[mine], starts[mine] = all_heads[k][string, 0], all_heads[k][string, 1], all_heads[k][string, 2] + off
-        ok[mine] = off + WIDTH <= s.lengths[string] - 1
-    border = np.flatnonzero(np.concatenate([[True], lcp[1:] < WIDTH]))
-    least = np.minimum.reduceat(np.where(ok, ids, np.iinfo(np.int64).max), border)
-    hit = np.flatnonzero(ok & (ids > np.repeat(least, np.diff(np.append(border, len(z))))))
-    key = np.stack([ids[hit], ts[hit]], 1)
-    docs, doc = np.unique(key, axis=0, return_inverse=True) if len(hit) else (key, np.empty(0, np.int64))
-    order = np.lexsort((starts[hit], doc))
-    doc, s = doc[order], starts[hit][order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (s[1:] > s[:-1] + WIDTH)]) if len(s) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(s))[: len(first)] - 1
-    spans, of = np.stack([s[first], s[last] + WIDTH], 1) if len(s) else np.empty((0, 2), np.int64), doc[first]
-    cut = np.searchsorted(of, np.arange(len(docs) + 1))
-    blobs = [spans[i:j].astype("<i8").tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
-    return pa.table([pa.array(docs[:, 0], pa.int64()), pa.array(docs[:, 1], pa.int64()), pa.array(blobs, pa.binary())], names=["id", "t", "marks"])
+        strings += [parts[i:j] for i, j in zip([0, *end[:-1]], end)]
+    head = np.concatenate(heads)
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    found = []
+    for rows in _whole_keys(np.concatenate(keys), sizes, PART_BYTES):
+        row, a, z = _common([strings[k] for k in rows.tolist()], head[rows, 0])
+        row = rows[row]
+        found.append(np.stack([head[row, 0], head[row, 1], head[row, 2] + a, head[row, 2] + z], 1))
+    spans = np.concatenate(found)
+    spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
+    first = np.flatnonzero(np.concatenate([[True], (spans[1:, :2] != spans[:-1, :2]).any(axis=1)])[: len(spans)])
+    blobs = [union([spans[i:j, 2:].astype("<i8").tobytes()]).astype("<i8").tobytes() for i, j in zip(first.tolist(), [*first[1:].tolist(), len(spans)])]
+    return pa.table([pa.array(spans[first, 0], pa.int64()), pa.array(spans[first, 1], pa.int64()), pa.array(blobs, pa.binary())], names=["id", "t", "marks"])
 
 
 def union(blobs: list[bytes]) -> np.ndarray:

@@ -113,3 +113,43 @@ def test_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = check(spark, docs)[1]
     assert any(v[1] for v in want.values())
+
+
+def test_common_windows_agree_with_a_plain_search():
+    rng = random.Random(8)
+    word = [bytes(rng.choice(b"abcdefgh") for _ in range(25)) for _ in range(4)]
+    strings = [b"".join(rng.choice(word) for _ in range(3))[rng.randrange(0, 9) :] for _ in range(60)]
+    ids = np.array([rng.randrange(0, 12) for _ in strings])
+    n = repeats.WIDTH
+    least = {}
+    for s, i in zip(strings, ids.tolist()):
+        for k in range(len(s) - n + 1):
+            least[s[k : k + n]] = min(i, least.get(s[k : k + n], i))
+    want = [{b for k in range(len(s) - n + 1) if least[s[k : k + n]] < i for b in range(k, k + n)} for s, i in zip(strings, ids.tolist())]
+    got = [set() for _ in strings]
+    for row, a, z in zip(*(x.tolist() for x in repeats._common(strings, ids))):
+        got[row] |= set(range(a, z))
+    assert got == want and any(want)
+    assert repeats._common([b"x" * n] * 3, np.array([4, 4, 4]))[0].size == 0
+
+
+def test_keys_stay_whole_in_bounded_parts():
+    rng = random.Random(9)
+    keys = np.array([rng.choice([7, rng.randrange(50)]) for _ in range(400)], "<u4")
+    sizes = np.array([rng.randrange(50, 67) for _ in keys])
+    parts = list(repeats._whole_keys(keys, sizes, 1000))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(400))
+    of = [set(keys[p].tolist()) for p in parts]
+    assert sum(map(len, of)) == len(set(keys.tolist()))
+    assert all(len(k) == 1 or sizes[p].sum() <= 1000 for k, p in zip(of, parts))
+    assert list(repeats._whole_keys(keys[:0], sizes[:0], 1000)) == []
+
+
+def test_an_anchor_with_many_contexts(spark):
+    rng = random.Random(10)
+    line = "a line that all of them hold"
+    odd = lambda n: "".join(rng.choice("bcdfghjklm ") for _ in range(n))
+    lead, trail = odd(30), odd(30)
+    docs = [(i, odd(60) + (lead if i % 3 else odd(30)) + line + (trail if i % 4 else odd(30)) + odd(60)) for i in range(120)]
+    docs += [(200, line + trail), (201, lead + line), (202, line), (203, (lead + line) * 2)]
+    check(spark, docs)
