@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, let, materialize, packed, unpacked
 
 MOST_GRAMS = 1_000_000
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: what isn't a word of lower-cased text; frequent letters come first, where a match ends the search
+GAP = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: words of text that isn't lower-cased yet
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[a-z0-9A-Z\x{80}-\x{10FFFF}]+"
 #: between a gap and the word after it
 STARTS = r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[0-9A-Za-z\x{80}-\x{10FFFF}])"
 
