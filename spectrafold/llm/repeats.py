@@ -11,8 +11,12 @@ repeats as a whole is set aside first, both exactly, and only the rest is transf
    smallest id (the others are known to repeat), so a passage in a third of all documents is
    sent once a block. A bucket answers: the context as a whole also stands in a smaller
    document; or this text owns the first of a context that goes on like another for NEAR bytes to
-   the left or to the right, as a match of WIDTH bytes must. Answers go back in one row for each
-   bucket and range of documents, and ranges gather them.
+   the left or to the right, as a match of WIDTH bytes must. An anchor that FREQUENT documents of
+   a block hold goes by its contexts instead, to buckets of their own, which answer if a context
+   repeats as a whole and have both sides of its first one sent; its bucket learns so by a
+   notice and passes on what other blocks sent there, so it holds less than FREQUENT documents of
+   each block. Answers go back in one row for each bucket and range of documents, and ranges
+   gather them.
 3. Owned contexts are cut out once for each such side: the bytes of the windows that reach NEAR
    bytes or more to it. They meet in buckets by their key, the anchor and the NEAR bytes of the
    side, which all of these windows hold, so an anchor with many contexts is in many buckets. A
@@ -32,8 +36,8 @@ separate texts that don't shorten one another. Texts shorter than WIDTH bytes st
 texts are read in segments. Empty tables give no rows. Other columns are not read by report() and
 pass through remove() as they are, whatever their names. Memory: an Arrow batch and its anchors,
 or a bucket, or a part of PART_BYTES of the strings that are merged; buckets are as many as the
-input asks for. An anchor that very many documents hold, each in a context of its own, stays in one
-bucket of step 2, and a key that they hold in one part of step 3.
+input asks for. A key of 34 bytes that very many documents go on from differently is one part of
+step 3.
 """
 
 from __future__ import annotations
@@ -55,6 +59,7 @@ WIDTH, GRAM = 50, 18
 SIDE = WIDTH - GRAM
 NEAR = SIDE // 2
 BUCKET_BYTES, BLOCK_BYTES, PART_BYTES = 3_000_000, 5_000_000, 1_500_000
+FREQUENT = 64
 SEGMENT = 1 << 18
 _TABLE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(12).integers(2**60, 2**62, 8)]
@@ -132,7 +137,54 @@ def _unsix(x: bytes) -> np.ndarray:
 
 _SENT = "bucket int, a binary, ctx binary, sides binary, doc binary, pos binary, ids binary, ts binary"
 _REPLY = "id long, t long, marks binary"
-_GROUPED = "range int, ids binary, ts binary, sizes binary, marks binary"
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    names = [c.split()[0] for c in _SENT.split(", ")]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, (pa.int32(), *[pa.binary()] * 7))], names=names)
+
+
+def _places(bucket: np.ndarray, h: np.ndarray, ctx: np.ndarray, sides: list[np.ndarray], doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, ts: np.ndarray) -> Iterator[tuple]:
+    """Rows of _SENT with the places of anchors by bucket; doc counts in ids and ts."""
+    # places beyond 64 KiB go apart, so that the others need two bytes each
+    group = bucket.astype(np.int64) * 2 + (pos >= 1 << 16)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
+    for i, j in zip(start.tolist(), [*start[1:].tolist(), len(group)]):
+        for k in range(i, j, 60_000):
+            at = order[k : min(j, k + 60_000)]
+            used, idx = np.unique(doc[at], return_inverse=True)
+            wide = "<u2" if group[i] % 2 == 0 else "<u4" if pos[at].max() < 2**32 else "<u8"
+            both = b"".join(x[at].astype("<u2").tobytes() for x in sides)
+            yield int(group[i]) // 2, h[at].astype("<u4").tobytes(), _six(ctx[at]), both, idx.astype("<u2").tobytes(), pos[at].astype(wide).tobytes(), ids[used].astype("<i8").tobytes(), ts[used].astype("<i8").tobytes()
+
+
+def _read(t: pa.Table) -> tuple:
+    """What _places() wrote: anchors, contexts, sides, documents, positions, ids, texts."""
+    cols = {n: t.column(n).to_pylist() for n in ("a", "ctx", "sides", "doc", "pos", "ids", "ts")}
+    ids, ts = (np.frombuffer(b"".join(cols[c]), "<i8") for c in ("ids", "ts"))
+    a, ctx = np.frombuffer(b"".join(cols["a"]), "<u4").astype(np.uint64), _unsix(b"".join(cols["ctx"]))
+    sides = [np.concatenate([np.frombuffer(x, "<u2").reshape(2, -1)[k] for x in cols["sides"]]).astype(np.uint64) for k in (0, 1)]
+    base = np.concatenate([[0], np.cumsum([len(x) // 8 for x in cols["ids"]])])
+    doc = np.concatenate([np.frombuffer(x, "<u2").astype(np.int64) + base[k] for k, x in enumerate(cols["doc"])])
+    pos = np.concatenate([np.frombuffer(x, f"<u{2 * len(x) // len(cols['doc'][k])}").astype(np.int64) for k, x in enumerate(cols["pos"])])
+    return a, ctx, sides, doc, pos, ids, ts
+
+
+def _spread(bucket: np.ndarray, h: np.ndarray, ctx: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket, from `buckets` on, of a context whose anchor is frequent."""
+    x = ((bucket.astype(np.uint64) << np.uint64(32) | h & np.uint64(2**32 - 1)) * _P[2] ^ ctx & np.uint64(2**48 - 1)) * _P[3]
+    x = (x ^ (x >> np.uint64(29))) * _P[1]
+    return (np.uint64(buckets) + (((x >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32))).astype(np.int64)
+
+
+def _frequent(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which places have an anchor that FREQUENT documents or more of the block send."""
+    _, each, n = np.unique(h, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(n[each] >= FREQUENT)
+    pair = np.unique(each[at].astype(np.int64) << 32 | doc[at])
+    return (np.bincount(pair >> 32, minlength=len(n)) >= FREQUENT)[each]
 
 
 def _ranges(ids: np.ndarray, ts: np.ndarray, n: int) -> np.ndarray:
@@ -153,7 +205,8 @@ def _by_document(ids: np.ndarray, ts: np.ndarray, marks: np.ndarray) -> tuple[np
 
 
 def _marks(ids: np.ndarray, ts: np.ndarray, pos: np.ndarray, kind: np.ndarray, ranges: int) -> pa.Table:
-    """Answers by range: documents, and for each its positions times four, plus kind (0: the whole
+    """Answers as rows of _SENT, with the bucket -1 - range of documents: documents, the number
+    of their marks in doc, and marks in a, each a position times four plus kind (0: the whole
     context repeats, 1: send its left side, 2: its right one, 3: both)."""
     ids, ts, first, marks = _by_document(ids, ts, pos.astype("<u8") * np.uint64(4) + kind.astype("<u8"))
     size = np.diff(np.append(first, len(marks)))
@@ -164,21 +217,22 @@ def _marks(ids: np.ndarray, ts: np.ndarray, pos: np.ndarray, kind: np.ndarray, r
     for i, j in zip(at.tolist(), [*at[1:].tolist(), len(r)]):
         own = order[i:j]
         blob = b"".join(marks[first[k] : first[k] + size[k]].tobytes() for k in own.tolist())
-        rows.append((int(r[own[0]]), ids[own].astype("<i8").tobytes(), ts[own].astype("<i8").tobytes(), size[own].astype("<u4").tobytes(), blob))
-    kinds = (pa.int32(), *[pa.binary()] * 4)
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["range", "ids", "ts", "sizes", "marks"])
+        rows.append((-1 - int(r[own[0]]), blob, b"", b"", size[own].astype("<u4").tobytes(), b"", ids[own].astype("<i8").tobytes(), ts[own].astype("<i8").tobytes()))
+    return _sent(rows)
 
 
 def _gather(t: pa.Table) -> pa.Table:
     """A row for each document of a range, with all its marks."""
-    ids, ts, size, marks = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("ids", "<i8"), ("ts", "<i8"), ("sizes", "<u4"), ("marks", "<u8")))
+    ids, ts, size, marks = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("ids", "<i8"), ("ts", "<i8"), ("doc", "<u4"), ("a", "<u8")))
     ids, ts, first, marks = _by_document(np.repeat(ids, size), np.repeat(ts, size), marks)
     ends = [*first[1:].tolist(), len(marks)]
     return pa.table([pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array([marks[i:j].tobytes() for i, j in zip(first.tolist(), ends)], pa.binary())], names=["id", "t", "marks"])
 
 
 def _send(texts: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of anchors by bucket. Buckets below 0 hold ready answers of range -1 - bucket."""
+    """Blocks of anchors by bucket. Buckets below 0 hold ready answers. An anchor that is frequent
+    in a block goes by its contexts to buckets from `buckets` on, and its own bucket gets a notice,
+    a row without contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,50 +260,55 @@ def _send(texts: DataFrame, buckets: int) -> DataFrame:
         doc, pos, h, ctx, left, right = map(np.concatenate, zip(*got))
         del got
         h ^= h >> np.uint64(31)
+        h *= _P[7]  # the smallest of many hashes is small, and its upper bits choose the bucket
+        h ^= h >> np.uint64(31)
         bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        both = (h * _P[7]) ^ ctx
+        both = (h * _P[6]) ^ ctx
         order = np.lexsort((ids[doc], both))
         same = np.concatenate([[False], both[order][1:] == both[order][:-1]])
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         least = ids[doc][order][first]
         known = np.zeros(len(doc), bool)
         known[order] = least < ids[doc][order]
-        for r, i, t, size, marks in zip(*(c.to_pylist() for c in _marks(ids[doc[known]], ts[doc[known]], pos[known], np.zeros(int(known.sum()), np.uint8), buckets).columns)):
-            yield _row(-1 - r, marks, b"", b"", size, b"", i, t)
+        yield from _marks(ids[doc[known]], ts[doc[known]], pos[known], np.zeros(int(known.sum()), np.uint8), buckets).to_batches()
         # contexts that repeat within one document are sent for each place, for their replies
-        keep = np.flatnonzero(~known)
-        # places beyond 64 KiB go apart, so that the others need two bytes each
-        group = bucket[keep].astype(np.int64) * 2 + (pos[keep] >= 1 << 16)
-        order = np.argsort(group, kind="stable")
-        keep, group = keep[order], group[order]
-        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
-        for i, j in zip(start.tolist(), [*start[1:].tolist(), len(group)]):
-            at, k = keep[i:j], int(group[i])
-            used, idx = np.unique(doc[at], return_inverse=True)
-            wide = "<u2" if k % 2 == 0 else "<u4" if pos[at].max() < 2**32 else "<u8"
-            sides = left[at].astype("<u2").tobytes() + right[at].astype("<u2").tobytes()
-            yield _row(k // 2, h[at].astype("<u4").tobytes(), _six(ctx[at]), sides, idx.astype("<u2").tobytes(), pos[at].astype(wide).tobytes(), ids[used].astype("<i8").tobytes(), ts[used].astype("<i8").tobytes())
-
-    def _row(k: int, a: bytes, ctx: bytes, sides: bytes, doc: bytes, pos: bytes, ids: bytes, ts: bytes) -> pa.RecordBatch:
-        cols = [[k], [a], [ctx], [sides], [doc], [pos], [ids], [ts]]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "a", "ctx", "sides", "doc", "pos", "ids", "ts"])
+        h, ctx, doc, pos, left, right, bucket = (x[~known] for x in (h, ctx, doc, pos, left, right, bucket.astype(np.int64)))
+        frequent = _frequent(h, doc)
+        told = np.unique(h[frequent])
+        own = (((told >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        bucket[frequent] = _spread(bucket[frequent], h[frequent], ctx[frequent], buckets)
+        for k in np.unique(own).tolist():
+            yield from _sent([(k, told[own == k].astype("<u4").tobytes(), *[b""] * 6)]).to_batches()
+        for row in _places(bucket, h, ctx, [left, right], doc, pos, ids, ts):
+            yield from _sent([row]).to_batches()
 
     return texts.mapInArrow(run, _SENT)
 
 
 def _answer(buckets: int):
+    """What a bucket's anchors learn, as answers. Places of an anchor that is frequent in any
+    block go on to the buckets of its contexts, where those of such blocks already are."""
+
     def run(t: pa.Table) -> pa.Table:
         trim()
-        cols = {n: t.column(n).to_pylist() for n in ("a", "ctx", "sides", "doc", "pos", "ids", "ts")}
-        if (bucket := t.column("bucket")[0].as_py()) < 0:
-            return pa.table([pa.array([-1 - bucket], pa.int32()), *(pa.array([b"".join(cols[c])], pa.binary()) for c in ("ids", "ts", "doc", "a"))], names=["range", "ids", "ts", "sizes", "marks"])
-        ids = np.frombuffer(b"".join(cols["ids"]), "<i8")
-        ts = np.frombuffer(b"".join(cols["ts"]), "<i8")
-        a, ctx = np.frombuffer(b"".join(cols["a"]), "<u4").astype(np.uint64), _unsix(b"".join(cols["ctx"]))
-        sides = [np.concatenate([np.frombuffer(x, "<u2").reshape(2, -1)[k] for x in cols["sides"]]).astype(np.uint64) for k in (0, 1)]
-        base = np.concatenate([[0], np.cumsum([len(x) // 8 for x in cols["ids"]])])
-        doc = np.concatenate([np.frombuffer(x, "<u2").astype(np.int64) + base[k] for k, x in enumerate(cols["doc"])])
-        pos = np.concatenate([np.frombuffer(x, f"<u{2 * len(x) // len(cols['doc'][k])}").astype(np.int64) for k, x in enumerate(cols["pos"])])
+        if (bucket := t.column("bucket")[0].as_py()) >= buckets:
+            return t
+        if bucket < 0:
+            ids, ts, size, marks = (b"".join(t.column(c).to_pylist()) for c in ("ids", "ts", "doc", "a"))
+            return _sent([(bucket, marks, b"", b"", size, b"", ids, ts)])
+        told = pc.equal(pc.binary_length(t.column("ctx")), 0)
+        frequent = np.frombuffer(b"".join(t.filter(told).column("a").to_pylist()), "<u4")
+        if not len(t := t.filter(pc.invert(told))):
+            return _sent([])
+        a, ctx, sides, doc, pos, ids, ts = _read(t)
+        late = np.isin(a, np.unique(frequent).astype(np.uint64))
+        to = _spread(np.full(int(late.sum()), bucket), a[late], ctx[late], buckets)
+        rows = list(_places(to, a[late], ctx[late], [x[late] for x in sides], doc[late], pos[late], ids, ts))
+        a, ctx, doc, pos, sides = a[~late], ctx[~late], doc[~late], pos[~late], [x[~late] for x in sides]
+        answers = first_places(a, ctx, sides, doc, pos, ids, ts) if len(a) else _sent([])
+        return pa.concat_tables([answers, _sent(rows)])
+
+    def first_places(a: np.ndarray, ctx: np.ndarray, sides: list[np.ndarray], doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, ts: np.ndarray) -> pa.Table:
         own = ids[doc]
         # anchors of one id only can't repeat across documents
         order = np.argsort(a, kind="stable")
@@ -283,13 +342,34 @@ def _answer(buckets: int):
     return run
 
 
+def _answer_frequent(buckets: int):
+    """Answers of the contexts whose anchors are frequent: which repeat as a whole. The sides of
+    the first of each are sent without being compared."""
+
+    def run(t: pa.Table) -> pa.Table:
+        trim()
+        a, ctx, sides, doc, pos, ids, ts = _read(t)
+        own = ids[doc]
+        order = np.lexsort((pos, own, ctx, a))
+        a, ctx, doc, pos, own = a[order], ctx[order], doc[order], pos[order], own[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (ctx[1:] != ctx[:-1])])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+        repeats = own > own[first]
+        kind = np.where(repeats, 0, (sides[0][order] > 0) + 2 * (sides[1][order] > 0)).astype(np.uint8)
+        at = np.flatnonzero(repeats | (kind > 0))
+        return _marks(ids[doc[at]], ts[doc[at]], pos[at], kind[at], buckets)
+
+    return run
+
+
 _CUT = "bucket int, id long, t long, marks binary, parts binary, sizes binary, keys binary"
 
 
 def _contexts(active: DataFrame, buckets: int) -> DataFrame:
     """From id, t, text, marks: a row with the spans of each document, and rows with the sides
     of contexts that it sends to each bucket: id, t and place of each, its bytes, their number and
-    a hash of the key."""
+    a hash of the key. Equal strings of a block are sent for its smallest id only; the others are
+    spans at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -313,10 +393,19 @@ def _contexts(active: DataFrame, buckets: int) -> DataFrame:
                     if len(part) >= WIDTH:
                         h = xxhash.xxh64_intdigest(text[p - left : p - left + GRAM + NEAR], seed=bit)
                         out.setdefault(h % buckets, []).append((i, t, start, part, h >> 32))
+        whole = {}
         for k, got in out.items():
+            least: dict[bytes, int] = {}
+            for g in got:
+                least[g[3]] = min(g[0], least.get(g[3], g[0]))
+            for g in got:
+                if g[0] > least[g[3]]:
+                    whole.setdefault(g[:2], []).append((g[2], g[2] + len(g[3])))
+            got = [g for g in got if g[0] == least[g[3]]]
             head = np.array([g[:3] for g in got], "<i8").tobytes()
             sizes, keys = np.array([len(g[3]) for g in got], "<u2").tobytes(), np.array([g[4] for g in got], "<u4").tobytes()
             rows.append((k, None, None, head, b"".join(g[3] for g in got), sizes, keys))
+        rows += [(-1, i, t, union([np.array(x, "<i8").tobytes()]).astype("<i8").tobytes(), None, None, None) for (i, t), x in whole.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "id", "t", "marks", "parts", "sizes", "keys"])
 
@@ -432,8 +521,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(min(1_000_000_000, max(8, -(-size // BUCKET_BYTES))))
     with small_batches(docs.sparkSession):
-        replies = materialize(_send(texts, buckets).groupBy("bucket").applyInArrow(_answer(buckets), _GROUPED), "anchors")
-        marks = replies.groupBy("range").applyInArrow(_gather, _REPLY)
+        replies = materialize(_send(texts, buckets).groupBy("bucket").applyInArrow(_answer(buckets), _SENT), "anchors")
+        late = replies.filter("bucket >= 0").groupBy("bucket").applyInArrow(_answer_frequent(buckets), _SENT)
+        marks = replies.filter("bucket < 0").unionAll(late).groupBy("bucket").applyInArrow(_gather, _REPLY)
         cuts = materialize(_contexts(texts.join(marks.hint("merge"), ["id", "t"]).select("id", "t", "text", "marks"), buckets), "contexts")
         drop(replies)
         found = cuts.filter("bucket >= 0").groupBy("bucket").applyInArrow(_merge, _REPLY)

@@ -153,3 +153,31 @@ def test_an_anchor_with_many_contexts(spark):
     docs = [(i, odd(60) + (lead if i % 3 else odd(30)) + line + (trail if i % 4 else odd(30)) + odd(60)) for i in range(120)]
     docs += [(200, line + trail), (201, lead + line), (202, line), (203, (lead + line) * 2)]
     check(spark, docs)
+
+
+def test_anchors_frequent_in_some_blocks_only(spark):
+    """Contexts of an anchor meet, whether their blocks found it frequent or not."""
+    rng = random.Random(12)
+    odd = lambda n: "".join(rng.choice("bcdfghjklm ") for _ in range(n))
+    line, lead, trail = "a line that all of them hold", odd(40), odd(40)
+    docs = [(1400 - i, odd(60) + (lead if i % 3 == 0 else odd(40)) + line + (trail if i % 4 == 0 else odd(40)) + odd(60)) for i in range(400)]
+    docs += [(3000 - i, odd(300) if i % 20 else lead[-20:] + line + trail + odd(9)) for i in range(200)]
+    docs += [(i, docs[i][1][40:170]) for i in range(0, 150, 7)] + [(1500 + i, docs[i][1]) for i in range(0, 150, 11)]
+    schema = "doc_id long, text string"
+    frame = spark.createDataFrame(docs[:400], schema).coalesce(1).unionAll(spark.createDataFrame(docs[400:], schema).repartition(9))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(frame).collect()}
+    want = brute.repeats(docs)
+    assert got == want and sum(v[1] > 0 for v in want.values()) > 30
+    sent = repeats._send(repeats._texts(frame, "doc_id", "text"), 8).select("bucket", "ctx").collect()
+    assert any(r.bucket >= 8 for r in sent) and any(0 <= r.bucket < 8 and not r.ctx for r in sent)
+
+
+def test_buckets_are_even(spark):
+    """Anchors have small hashes, which may not decide the bucket as they are."""
+    rng = random.Random(13)
+    docs = [(i, "".join(rng.choice("abcdefgh ") for _ in range(2000))) for i in range(60)]
+    sent = repeats._send(repeats._texts(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"), 8)
+    n = dict.fromkeys(range(8), 0)
+    for r in sent.filter("bucket >= 0").select("bucket", "a").collect():
+        n[r.bucket] += len(r.a) // 4
+    assert min(n.values()) > 0.8 * max(n.values())
