@@ -21,7 +21,7 @@ repeats as a whole is set aside first, both exactly, and only the rest is transf
    bytes or more to it. They meet in buckets by their key, the anchor and the NEAR bytes of the
    side, which all of these windows hold, so an anchor with many contexts is in many buckets. A
    bucket is worked through in parts of whole keys. Equal strings, compared byte by byte, count
-   once; the different ones are dealt to shards with a transform each, the shards are merged by
+   once; the different ones of a key are dealt to shards with a transform each, the shards are merged by
    interleave refinement, and the intervals with a common prefix of WIDTH bytes give the
    smallest id of each window.
 4. The spans of a document are united and cut from its bytes.
@@ -181,10 +181,13 @@ def _spread(bucket: np.ndarray, h: np.ndarray, ctx: np.ndarray, buckets: int) ->
 
 def _frequent(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which places have an anchor that FREQUENT documents or more of the block send."""
-    _, each, n = np.unique(h, return_inverse=True, return_counts=True)
-    at = np.flatnonzero(n[each] >= FREQUENT)
-    pair = np.unique(each[at].astype(np.int64) << 32 | doc[at])
-    return (np.bincount(pair >> 32, minlength=len(n)) >= FREQUENT)[each]
+    cell = (h & np.uint64((1 << 20) - 1)).astype(np.int64)
+    at = np.flatnonzero(np.bincount(cell, minlength=1)[cell] >= FREQUENT)  # few; counted exactly below
+    _, each = np.unique(h[at], return_inverse=True)
+    pair = np.unique(each.astype(np.int64) << 32 | doc[at])
+    out = np.zeros(len(h), bool)
+    out[at] = (np.bincount(pair >> 32, minlength=1) >= FREQUENT)[each]
+    return out
 
 
 def _ranges(ids: np.ndarray, ts: np.ndarray, n: int) -> np.ndarray:
@@ -425,9 +428,10 @@ def _whole_keys(keys: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.n
         lo = int(stop[k - 1])
 
 
-def _common(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, stop) of the runs of windows that a string of a smaller id also has, from
-    the merged transforms of the different strings."""
+def _common(strings: list[bytes], ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, stop) of the runs of windows that a string of a smaller id, with the same key,
+    also has, from the merged transforms of the different strings. Strings without a different
+    one under a key of theirs have nothing to compare."""
     at: dict[bytes, int] = {}
     same = np.fromiter((at.setdefault(s, len(at)) for s in strings), np.int64, len(strings))
     each = list(at)
@@ -435,7 +439,11 @@ def _common(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, ...]:
     np.minimum.at(least, same, ids)
     whole = np.flatnonzero(ids > least[same])
     found = [(whole, np.zeros(len(whole), np.int64), np.array([len(strings[k]) for k in whole.tolist()], np.int64))]
-    if len(each) > 1:
+    pair = np.unique(keys.astype(np.int64) << 32 | same)
+    _, of_key, n = np.unique(pair >> 32, return_inverse=True, return_counts=True)
+    busy = np.unique(pair[n[of_key] > 1] & (2**32 - 1))
+    if len(busy):
+        each, low_id = [each[k] for k in busy.tolist()], least[busy]
         want = -(-len(each) // 8)
         shards = [bwt.build(each[k : k + want], WIDTH, 2) for k in range(0, len(each), want)]
         z, place, lcp = bwt.merge(shards, WIDTH, 2)
@@ -449,14 +457,14 @@ def _common(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, ...]:
         interval = np.cumsum(lcp < WIDTH, dtype=np.int32)[ok]
         string, off = string[ok], off[ok]
         start = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]])[: len(interval)])
-        low = np.repeat(np.minimum.reduceat(least[string], start), np.diff(np.append(start, len(string)))) if len(string) else least[string]
-        hit = least[string] > low
+        low = np.repeat(np.minimum.reduceat(low_id[string], start), np.diff(np.append(start, len(string)))) if len(string) else low_id[string]
+        hit = low_id[string] > low
         string, off = string[hit], off[hit]
         order = np.lexsort((off, string))
         string, off = string[order].astype(np.int64), off[order].astype(np.int64)
         new = np.concatenate([[True], (string[1:] != string[:-1]) | (off[1:] > off[:-1] + WIDTH)])[: len(string)]
         first = np.flatnonzero(new)
-        of, a, b = string[first], off[first], off[np.append(first[1:], len(off))[: len(first)] - 1] + WIDTH
+        of, a, b = busy[string[first]], off[first], off[np.append(first[1:], len(off))[: len(first)] - 1] + WIDTH
         # to all rows of the smallest id that hold the string
         rows = np.flatnonzero(ids == least[same])
         rows = rows[np.argsort(same[rows], kind="stable")]
@@ -479,8 +487,9 @@ def _merge(t: pa.Table) -> pa.Table:
     head = np.concatenate(heads)
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     found = []
-    for rows in _whole_keys(np.concatenate(keys), sizes, PART_BYTES):
-        row, a, z = _common([strings[k] for k in rows.tolist()], head[rows, 0])
+    keys = np.concatenate(keys)
+    for rows in _whole_keys(keys, sizes, PART_BYTES):
+        row, a, z = _common([strings[k] for k in rows.tolist()], head[rows, 0], keys[rows])
         row = rows[row]
         found.append(np.stack([head[row, 0], head[row, 1], head[row, 2] + a, head[row, 2] + z], 1))
     spans = np.concatenate(found)

@@ -127,10 +127,14 @@ def test_common_windows_agree_with_a_plain_search():
             least[s[k : k + n]] = min(i, least.get(s[k : k + n], i))
     want = [{b for k in range(len(s) - n + 1) if least[s[k : k + n]] < i for b in range(k, k + n)} for s, i in zip(strings, ids.tolist())]
     got = [set() for _ in strings]
-    for row, a, z in zip(*(x.tolist() for x in repeats._common(strings, ids))):
+    for row, a, z in zip(*(x.tolist() for x in repeats._common(strings, ids, np.zeros(len(ids), "<u4")))):
         got[row] |= set(range(a, z))
     assert got == want and any(want)
-    assert repeats._common([b"x" * n] * 3, np.array([4, 4, 4]))[0].size == 0
+    assert repeats._common([b"x" * n] * 3, np.array([4, 4, 4]), np.zeros(3, "<u4"))[0].size == 0
+    # a string is compared under any of its keys; one alone under its own is not
+    some = [b"p" * 9 + b"q" * n, b"q" * n + b"r" * 9, b"q" * n + b"r" * 9, b"s" + b"q" * n]
+    rows = repeats._common(some, np.array([1, 2, 3, 0]), np.array([5, 5, 6, 7], "<u4"))
+    assert sorted(zip(*(c.tolist() for c in rows))) == [(1, 0, n), (2, 0, n + 9)]
 
 
 def test_keys_stay_whole_in_bounded_parts():
