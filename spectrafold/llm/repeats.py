@@ -154,7 +154,9 @@ def _places(bucket: np.ndarray, h: np.ndarray, ctx: np.ndarray, sides: list[np.n
     for i, j in zip(start.tolist(), [*start[1:].tolist(), len(group)]):
         for k in range(i, j, 60_000):
             at = order[k : min(j, k + 60_000)]
-            used, idx = np.unique(doc[at], return_inverse=True)
+            own = doc[at]
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            used, idx = own[new], np.cumsum(new) - 1  # documents by run
             wide = "<u2" if group[i] % 2 == 0 else "<u4" if pos[at].max() < 2**32 else "<u8"
             both = b"".join(x[at].astype("<u2").tobytes() for x in sides)
             yield int(group[i]) // 2, h[at].astype("<u4").tobytes(), _six(ctx[at]), both, idx.astype("<u2").tobytes(), pos[at].astype(wide).tobytes(), ids[used].astype("<i8").tobytes(), ts[used].astype("<i8").tobytes()
@@ -280,10 +282,8 @@ def _send(texts: DataFrame, buckets: int) -> DataFrame:
         told = np.unique(h[frequent])
         own = (((told >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
         bucket[frequent] = _spread(bucket[frequent], h[frequent], ctx[frequent], buckets)
-        for k in np.unique(own).tolist():
-            yield from _sent([(k, told[own == k].astype("<u4").tobytes(), *[b""] * 6)]).to_batches()
-        for row in _places(bucket, h, ctx, [left, right], doc, pos, ids, ts):
-            yield from _sent([row]).to_batches()
+        rows = [(k, told[own == k].astype("<u4").tobytes(), *[b""] * 6) for k in np.unique(own).tolist()]
+        yield from _sent([*rows, *_places(bucket, h, ctx, [left, right], doc, pos, ids, ts)]).to_batches()
 
     return texts.mapInArrow(run, _SENT)
 
